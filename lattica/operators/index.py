@@ -65,9 +65,9 @@ class SpatialIndex:
         if leafsize < 1:
             raise ValueError("leafsize must be positive")
         metric = metric_for(boxsize)
+        points = points.filter("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL")
         if not metric.periodic:
-            ok = ~(F.isnan("x") | F.isnan("y") | F.isnan("z"))
-            points = points.filter(ok)
+            points = points.filter("NOT isnan(x) AND NOT isnan(y) AND NOT isnan(z)")
         stats = points.agg(F.count("*").alias("n"), *(f(a).alias(f"{p}{a}") for a in AXES for f, p in ((F.min, "lo"), (F.max, "hi")))).first()
         n = stats["n"]
         if metric.periodic and n and domain_violations(points, metric.box).first()["violations"]:

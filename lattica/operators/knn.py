@@ -28,7 +28,7 @@ def _d2(metric: L2):
 def _top_k(pairs: DataFrame, k: int) -> DataFrame:
     """The k-limit is applied before the shuffle too, by Spark's window group limit; roots are taken of the survivors only."""
     order = Window.partitionBy("qid").orderBy("d2", "id")
-    return pairs.filter(~F.isnan("d2")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("qid", "rank", "id", F.sqrt("d2").alias("dist"))
+    return pairs.filter("d2 IS NOT NULL AND NOT isnan(d2)").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("qid", "rank", "id", F.sqrt("d2").alias("dist"))
 
 
 def knn_brute(queries: DataFrame, points: DataFrame, k: int = 1, boxsize: float | None = None, exclude_self: bool = False) -> DataFrame:
