@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import decontaminate, exact_dedup, quality, sentencepiece_codec
+from lattica.llm import decontaminate, exact_dedup, jaccard_join, quality, sentencepiece_codec
 from lattica.llm.shared import written
 
 
@@ -18,6 +18,11 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_exact_duplicates(docs)
 
 
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by their shingles, the one with the smallest id stays."""
+    return jaccard_join.one_of_each(docs)
+
+
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with passages of the benchmark go."""
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -28,7 +33,7 @@ def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return sentencepiece_codec.encode_and_check(docs, keep_ids=True)
 
 
-STAGES = [("quality", quality_stage), ("exact_dedup", exact_stage), ("decontamination", decontamination_stage), ("sentencepiece", tokens_stage)]
+STAGES = [("quality", quality_stage), ("exact_dedup", exact_stage), ("near_dedup", near_stage), ("decontamination", decontamination_stage), ("sentencepiece", tokens_stage)]
 
 #: The classifier and the tokenizer can't be told in SQL; the stages are tested against brute force.
 ORACLE_SQL = None
