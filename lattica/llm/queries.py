@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import decontaminate, exact_dedup, jaccard_join, quality, sentencepiece_codec, sharding
+from lattica.llm import decontaminate, exact_dedup, fm_dedup, jaccard_join, quality, sentencepiece_codec, sharding, suffix_dedup
 from lattica.llm.sql import ORACLES
 
 SHARDS = 24
@@ -15,6 +15,10 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def op2_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return fm_dedup.fm_dedup(read(spark, d, "documents"))
+
+
 def op4_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
     return sentencepiece_codec.encode_and_check(read(spark, d, "documents"))
 
@@ -23,6 +27,10 @@ def op5_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
     return jaccard_join.jaccard_groups(read(spark, d, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(read(spark, d, "documents"))
+
+
 def op7_quality(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents")
     return quality.score(docs, quality.train(docs, read(spark, d, "labels")))
@@ -42,7 +50,7 @@ def op10_decontamination(spark: SparkSession, d: str) -> DataFrame:
 
 
 def table() -> dict:
-    return {f.__name__: f for f in (op4_sentencepiece, op5_jaccard_join, op7_quality, op8_sharding, op9_exact_dedup, op10_decontamination)}
+    return {f.__name__: f for f in (op2_substring_dedup, op4_sentencepiece, op5_jaccard_join, op6_suffix_dedup, op7_quality, op8_sharding, op9_exact_dedup, op10_decontamination)}
 
 
 def oracles() -> dict[str, str]:
