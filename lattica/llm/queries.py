@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import decontaminate, exact_dedup, fm_dedup, jaccard_join, quality, sentencepiece_codec, sharding, suffix_dedup
+from lattica.llm import decontaminate, exact_dedup, fm_dedup, jaccard_join, lm_score, pii, quality, sentencepiece_codec, sharding, suffix_dedup
 from lattica.llm.sql import ORACLES
 
 SHARDS = 24
@@ -15,10 +15,18 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def op1_lm_score(spark: SparkSession, d: str) -> DataFrame:
+    return lm_score.score(read(spark, d, "documents"))
+
+
 def op2_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
     return fm_dedup.fm_dedup(read(spark, d, "documents"))
 
 
+def op3_pii(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find_pii(read(spark, d, "documents"))
+
+
 def op4_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
     return sentencepiece_codec.encode_and_check(read(spark, d, "documents"))
 
@@ -50,7 +58,7 @@ def op10_decontamination(spark: SparkSession, d: str) -> DataFrame:
 
 
 def table() -> dict:
-    return {f.__name__: f for f in (op2_substring_dedup, op4_sentencepiece, op5_jaccard_join, op6_suffix_dedup, op7_quality, op8_sharding, op9_exact_dedup, op10_decontamination)}
+    return {f.__name__: f for f in (op1_lm_score, op2_substring_dedup, op3_pii, op4_sentencepiece, op5_jaccard_join, op6_suffix_dedup, op7_quality, op8_sharding, op9_exact_dedup, op10_decontamination)}
 
 
 def oracles() -> dict[str, str]:
