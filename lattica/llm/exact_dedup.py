@@ -226,12 +226,13 @@ def _global(keep: str, budget: int):
 def _groups(rows: DataFrame, keep: str, budget: int) -> DataFrame:
     spark = rows.sparkSession
     owners = rows.filter("_n IS NOT NULL").select("_uid", "doc_id", "_n", "text")
-    dealt = owners.repartition(parallelism(spark), F.octet_length("text"), F.xxhash64("text"))
+    text = F.coalesce("text", F.lit(""))
+    dealt = owners.repartition(parallelism(spark), F.octet_length(text), F.xxhash64(text))
     return dealt.mapInArrow(_global(keep, budget), "_owner long, _keep_uid long, keep_id long, group_size long, text_sha256 string")
 
 
 def _terminals(docs: DataFrame, id_col: str, text_col: str, keep: str, rest: list[str], flush_bytes: int, flush_rows: int) -> DataFrame:
-    key, text = column_or_null(docs, id_col, "long").alias("doc_id"), F.coalesce(column_or_null(docs, text_col, "string"), F.lit("")).alias("text")
+    key, text = column_or_null(docs, id_col, "long").alias("doc_id"), column_or_null(docs, text_col, "string").alias("text")
     frame = docs.select(key, text, *([F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest))).alias("_row")] if rest else []))
     kinds = "_uid long, _owner long, doc_id long, _n long, text string"
     schema = struct(kinds)
@@ -261,5 +262,4 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows = _terminals(docs, id_col, text_col, keep, rest, limits["flush_bytes"], limits["flush_rows"])
     kept = _groups(rows, keep, limits["trie_bytes"]).select("_keep_uid").distinct()
     out = rows.filter("_n IS NOT NULL").join(kept, F.col("_uid") == F.col("_keep_uid"), "left_semi")
-    # a null text was read as empty; the kept row's own null can't be told from it, and is given back as empty
     return out.select(*((F.col("text") if c == text_col else F.col(f"_row.c{rest.index(c)}")).alias(c) for c in names))
