@@ -88,10 +88,12 @@ class Codec:
         for b, i in self.bytes.items():
             self.out[i] = bytes([b])
         self.out[self.unk] = b"" if self.bytes else " ⁇ ".encode()
+        #: Lengths of the longer pieces, longest first, by their last three characters.
         lengths: dict[str, set[int]] = {}
         for p in self.ids:
-            lengths.setdefault(p[-1], set()).add(len(p))
-        self.lengths = {c: sorted(x) for c, x in lengths.items()}
+            if len(p) > 2:
+                lengths.setdefault(p[-3:], set()).add(len(p))
+        self.lengths = {c: (*sorted(x, reverse=True), 2, 1) for c, x in lengths.items()}
         inside = any(MARK in p.lstrip(MARK) for p in self.ids)
         stop = "".join(re.escape(c) for c in "\n" if not any(c in p for p in self.ids))
         # no piece goes on over a mark or a line end, so texts fall apart there
@@ -100,6 +102,7 @@ class Codec:
         self.whole: dict[int, bool] = {}
         self.names = names
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> Codec:
@@ -138,7 +141,7 @@ class Codec:
     def _fallback(self, c: str) -> list[int]:
         return [self.bytes[b] for b in c.encode()] if self.bytes else [self.unk]
 
-    def words(self, words: list[str]) -> None:
+    def words(self, words: set[str]) -> None:
         """Puts the ids of these distinct words into the cache, walking their trie depth-first."""
         ids, scores, lengths, bpe, apart, single = self.ids, self.scores, self.lengths, self.bpe, self._apart, self._single
         before = ""
@@ -152,9 +155,9 @@ class Codec:
             del best[same + 1 :], last[same + 1 :], back[same + 1 :]
             for end in range(same + 1, len(word) + 1):
                 top, piece, start = -1e300, -3, end - 1
-                for n in lengths.get(word[end - 1], ()):
+                for n in lengths.get(word[end - 3 : end], (2, 1)) if end > 2 else (2, 1):
                     if n > end:
-                        break
+                        continue
                     k = ids.get(word[end - n : end])
                     if k is None:
                         continue
@@ -166,6 +169,8 @@ class Codec:
                         if not (apart(p, k) if p >= 0 else p != -3 and single(k)):
                             continue
                     top, piece, start = s, k, end - n
+                    if bpe:  # merging leaves one path
+                        break
                 if word[end - 1] not in ids and (not bpe or piece == -3):
                     s = best[end - 1] + self.low
                     if s > top:
@@ -190,11 +195,12 @@ class Codec:
             if MARK in t:
                 t = t.replace(MARK, "﷐")
             runs.append(split(MARK + t.replace(" ", MARK)))
-        fresh = {w for r in runs for w in r} - self.cache.keys()
-        if len(self.cache) + len(fresh) > CACHE:
-            self.cache.clear()
-            fresh = {w for r in runs for w in r}
-        self.words(list(fresh))
+        if len(self.cache) > CACHE // 2:  # words in use move on, the others go with the next change
+            self.old, self.cache = self.cache, {}
+        fresh = set().union(*runs) - self.cache.keys()
+        for w in fresh & self.old.keys():
+            self.cache[w] = self.old[w]
+        self.words(fresh - self.cache.keys())
         get = self.cache.__getitem__
         return [np.frombuffer(b"".join(map(get, r)), dtype=np.int32) for r in runs]
 
