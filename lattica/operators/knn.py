@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.metrics import AXES, L2, metric_for
-from lattica.operators.index import SpatialIndex
+from lattica.operators.index import MAX_CELLS, SpatialIndex
+from lattica.sources.scratch import written
 
 #: Point tables up to so many rows may be compared with every query.
 BRUTE_LIMIT = 20_000
+#: Points of an index cell up to which the index is used; larger tables are joined by a grid without a bound on its cells.
+DENSE = 1_000
+#: Cells on each side that the grid's second round may look at.
+RINGS = 6
 
 
 def _check_k(k: int) -> None:
@@ -32,10 +37,12 @@ def _top_k(pairs: DataFrame, k: int) -> DataFrame:
 
 
 def knn_brute(queries: DataFrame, points: DataFrame, k: int = 1, boxsize: float | None = None, exclude_self: bool = False) -> DataFrame:
-    """Every query against every point; for small point tables."""
+    """Every query against every point; for small point tables, which alone are broadcast."""
     _check_k(k)
     metric = metric_for(boxsize)
-    pairs = _queries(queries, metric).crossJoin(F.broadcast(points.select("id", *AXES)))
+    side = points.select("id", *AXES)
+    few = points.limit(BRUTE_LIMIT + 1).count() <= BRUTE_LIMIT
+    pairs = _queries(queries, metric).crossJoin(F.broadcast(side) if few else side)
     if exclude_self:
         pairs = pairs.filter("qid <> id")
     return _top_k(pairs.select("qid", "id", _d2(metric).alias("d2")), k)
@@ -66,13 +73,84 @@ def knn_pruned(queries: DataFrame, index: SpatialIndex, k: int = 1, exclude_self
     return _top_k(pairs.select("qid", "id", _d2(index.metric).alias("d2")), k)
 
 
+def _near(c: Column, m: Column, bins: int, periodic: bool) -> Column:
+    """Cells at most m away on one axis, each once."""
+    if periodic:
+        low, high = F.least(m, F.lit((bins - 1) // 2)), F.least(m, F.lit(bins // 2))
+        return F.transform(F.sequence(-low, high), lambda o: F.pmod(c + o, F.lit(bins)))
+    low, high = F.greatest(c - m, F.lit(0)), F.least(c + m, F.lit(bins - 1))
+    return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
+
+
+def knn_grid(queries: DataFrame, points: DataFrame, k: int = 1, boxsize: float | None = None, exclude_self: bool = False, occupancy: int | None = None) -> DataFrame:
+    """Equi-joins on grid cells, whose number grows with the points: nothing is broadcast, and a query meets a bounded
+    neighbourhood whatever the size of the table.
+
+    A block of m cells on each side holds every point within m cell widths. The first round looks one cell around; a query
+    whose k-th distance is larger than that asks again for the block that its distance calls for. Queries far from the
+    points, with more to look at than RINGS, are left to the index. Query ids must be unique.
+    """
+    _check_k(k)
+    metric = metric_for(boxsize)
+    k_in = k + exclude_self
+    stats = points.agg(F.count("*").alias("n"), *(f(a).alias(f"{p}{a}") for a in AXES for f, p in ((F.min, "lo"), (F.max, "hi")))).first()
+    low = [0.0 if metric.periodic else stats[f"lo{a}"] or 0.0 for a in AXES]
+    side = metric.box if metric.periodic else max([*(stats[f"hi{a}"] - stats[f"lo{a}"] for a in AXES if stats[f"lo{a}"] is not None), 0.0]) or 1.0
+    bins = min(1 << 20, max(1, int((stats["n"] / (occupancy or max(4, k_in))) ** (1 / 3))))
+    width = side / bins
+
+    def key(parts):
+        return (parts[0] * bins + parts[1]) * bins + parts[2]
+
+    at = [F.least(F.greatest(F.floor((F.col(a) - o) / width), F.lit(0)), F.lit(bins - 1)) for a, o in zip(AXES, low, strict=True)]
+    celled = points.select("id", *AXES, key(at).alias("cell_id"))
+    asked = _queries(queries, metric)
+
+    def block(pending: DataFrame) -> DataFrame:
+        out = pending
+        for a, o in zip(AXES, low, strict=True):
+            c = F.floor((F.col(f"q{a}") - o) / width)
+            c = F.pmod(c, F.lit(bins)) if metric.periodic else c
+            out = out.withColumn(f"c{a}", F.explode(_near(c, F.col("m"), bins, metric.periodic)))
+        pairs = out.withColumn("cell_id", key([F.col(f"c{a}") for a in AXES])).join(celled, "cell_id")
+        if exclude_self:
+            pairs = pairs.filter("qid <> id")
+        d2 = pairs.select("qid", "m", "id", _d2(metric).alias("d2")).filter("d2 IS NOT NULL AND NOT isnan(d2)")
+        every = Window.partitionBy("qid")
+        top = d2.withColumn("rank", F.row_number().over(every.orderBy("d2", "id"))).filter(F.col("rank") <= k)
+        sure = (F.count("*").over(every) == k) & (F.sqrt(F.max("d2").over(every)) <= F.col("m") * width * (1 - 1e-9))
+        return written(top.withColumn("far", F.sqrt(F.max("d2").over(every))).withColumn("n", F.count("*").over(every)).withColumn("sure", sure | (2 * F.col("m") + 1 >= 2 * bins)))
+
+    def rows(top: DataFrame) -> DataFrame:
+        return top.filter("sure").select("qid", "rank", "id", F.sqrt("d2").alias("dist"))
+
+    first = block(asked.withColumn("m", F.lit(1).cast("long")))
+    seen = first.filter("rank = 1").select("qid", "n", "far", "sure")
+    left = asked.join(seen, "qid", "left").filter("sure IS NULL OR NOT sure")
+    need = F.when(F.col("n") == k, F.ceil(F.col("far") / width * (1 + 1e-6))).otherwise(F.lit(3)).cast("long")
+    second = block(left.withColumn("m", need).filter(F.col("m") <= RINGS).select("qid", *(f"q{a}" for a in AXES), "m"))
+    done = rows(first).unionByName(rows(second))
+    rest = written(asked.join(done.filter("rank = 1"), "qid", "left_anti").select(F.col("qid").alias("id"), *(F.col(f"q{a}").alias(a) for a in AXES)))
+    if rest.limit(1).count():
+        done = done.unionByName(knn_pruned(rest, SpatialIndex.build(points, boxsize=boxsize), k, exclude_self))
+    return done
+
+
 def knn_join(queries: DataFrame, points: DataFrame | SpatialIndex, k: int = 1, boxsize: float | None = None, exclude_self: bool = False, strategy: str = "auto", leafsize: int = 128) -> DataFrame:
-    """Picks the plan by the number of points: nested loop below BRUTE_LIMIT, the index beyond."""
+    """Picks the plan by the number of points: nested loop below BRUTE_LIMIT, then the index, and beyond DENSE points for each
+    of its cells the grid. strategy: auto, brute, index or grid."""
     _check_k(k)
     if isinstance(points, SpatialIndex):
         return knn_pruned(queries, points, k, exclude_self)
-    if strategy == "brute" or strategy == "auto" and points.limit(BRUTE_LIMIT + 1).count() <= BRUTE_LIMIT:
+    if strategy not in ("auto", "brute", "index", "grid"):
+        raise ValueError(f"unknown strategy {strategy!r}")
+    if strategy == "auto":
+        n = points.count()
+        strategy = "brute" if n <= BRUTE_LIMIT else "index" if n <= MAX_CELLS * DENSE else "grid"
+    if strategy == "brute":
         return knn_brute(queries, points, k, boxsize, exclude_self)
+    if strategy == "grid":
+        return knn_grid(queries, points, k, boxsize, exclude_self)
     return knn_pruned(queries, SpatialIndex.build(points, leafsize, boxsize), k, exclude_self)
 
 

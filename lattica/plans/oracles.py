@@ -87,7 +87,7 @@ def table() -> dict[str, str]:
     lookup = "((x-1.0::DOUBLE)*(x-1.0::DOUBLE)+(y-1.05::DOUBLE)*(y-1.05::DOUBLE))+(z-0.95::DOUBLE)*(z-0.95::DOUBLE)"
     border = ("v AS (SELECT * FROM (VALUES (0.1::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE, 0.2::DOUBLE), (0.1, 0.1, 1.0, 1.0, 0.2), (0.1, 0.1, 0.1, 1.0, 0.2), (1.0, 1.0, 1.0, 1.0, 0.2)) t(x, y, z, weight, radius))")
     return {
-        "knn_l2": knn4, "knn_l2_k1": _knn(1), "knn_exclude_self": _knn(3, where=" WHERE q.id <> t.id"), "knn_periodic": _knn(4, 2.0), "knn_pruned": knn4, "knn_pruned_median": knn4, "knn_periodic_pruned": _knn(4, 2.0),
+        "knn_l2": knn4, "knn_l2_k1": _knn(1), "knn_exclude_self": _knn(3, where=" WHERE q.id <> t.id"), "knn_periodic": _knn(4, 2.0), "knn_pruned": knn4, "knn_grid": knn4, "knn_periodic_grid": _knn(4, 2.0), "knn_pruned_median": knn4, "knn_periodic_pruned": _knn(4, 2.0),
         "knn_single_point": f"WITH {P} SELECT CAST(row_number() OVER (ORDER BY d2, id) AS INTEGER) AS rank, id, sqrt(d2) AS dist FROM (SELECT id, {lookup} AS d2 FROM p) QUALIFY rank <= 16",
         "knn_k_gt_n": _knn(5, points="few", more=few), "knn_ties": _knn(40, points="tp", queries="tq", more=ties),
         "knn_wide": f"SELECT qid, string_agg(CAST(id AS VARCHAR), ',' ORDER BY rank) AS ids, round(sum(dist), 9) AS sum_dist FROM ({knn4}) GROUP BY qid",

@@ -15,6 +15,7 @@ from lattica.operators import field, ghosts, index, knn, raster, selection
 from lattica.plans.tables import BOX, PPU, emb_particles, emb_points, line_particles, tie_points
 from lattica.sources import points as src
 from lattica.sources import sinks
+from lattica.sources.scratch import folder
 
 UNIT_BOX = ((0.9, 1.0), (0.95, 1.05), (0.9, 0.98))
 
@@ -27,6 +28,10 @@ def _pruned(k, box=None, method="grid"):
     return lambda s, d: index.SpatialIndex.build(emb_points(s, d), 16, box, method).query(emb_points(s, d), k)
 
 
+def _grid(k, box=None):
+    return lambda s, d: knn.knn_grid(emb_points(s, d), emb_points(s, d), k, box)
+
+
 def knn_single_point(s: SparkSession, d: str) -> DataFrame:
     return knn.knn_lookup(emb_points(s, d), (1.0, 1.05, 0.95), 16)
 
@@ -172,17 +177,9 @@ def random_points(s: SparkSession, d: str) -> DataFrame:
     return src.random_points(s, 10_000, 42, BOX)
 
 
-def _scratch(s: SparkSession) -> str:
-    """A shared folder of this call's own."""
-    import tempfile
-
-    base = s.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{base.rstrip('/')}/lattica-{uuid.uuid4().hex}"
-
-
 def binary_roundtrip(s: SparkSession, d: str) -> DataFrame:
     """Particles written as raw float32 records by the driver, then read back."""
-    path = _scratch(s)
+    path = f"{folder(s)}/lattica-{uuid.uuid4().hex}"
     local = path.removeprefix("file://")
     os.makedirs(local, exist_ok=True)
     rows = emb_particles(s, d).toPandas().to_numpy(dtype="<f4")
@@ -202,6 +199,7 @@ def table() -> dict:
     return {
         "knn_l2": _knn(4), "knn_l2_k1": _knn(1), "knn_exclude_self": _knn(3, None, True), "knn_single_point": knn_single_point,
         "knn_periodic": _knn(4, BOX), "knn_pruned": _pruned(4), "knn_pruned_median": _pruned(4, None, "median"), "knn_periodic_pruned": _pruned(4, BOX),
+        "knn_grid": _grid(4), "knn_periodic_grid": _grid(4, BOX),
         "knn_k_gt_n": knn_k_gt_n, "knn_ties": knn_ties, "knn_wide": knn_wide, "knn_stats": knn_stats, "knn_query_stats": knn_query_stats,
         "box_distance": _box_distance(L2()), "box_distance_periodic": _box_distance(PeriodicL2(BOX)), "min_distance": min_distance,
         "domain_violations": lambda s, d: index.domain_violations(emb_points(s, d), 1.25),

@@ -25,11 +25,11 @@ def naive(points, queries, k, box=None):
 
 
 @pytest.mark.parametrize("box", [None, 2.0])
-@pytest.mark.parametrize("method", ["brute", "grid", "median"])
+@pytest.mark.parametrize("method", ["brute", "grid", "median", "cells"])
 def test_knn_equals_naive(spark, box, method):
     p, q = cloud(2000, 2.0), cloud(60, 2.0, 7)
     pts, qs = src.points_from_numpy(spark, p), src.points_from_numpy(spark, q)
-    got = knn.knn_brute(qs, pts, 4, box) if method == "brute" else SpatialIndex.build(pts, 32, box, method).query(qs, 4)
+    got = knn.knn_brute(qs, pts, 4, box) if method == "brute" else knn.knn_grid(qs, pts, 4, box) if method == "cells" else SpatialIndex.build(pts, 32, box, method).query(qs, 4)
     rows = got.orderBy("qid", "rank").toPandas()
     ids, dist = naive(p, q, 4, box)
     assert rows["id"].tolist() == ids.ravel().tolist()
@@ -46,6 +46,21 @@ def test_k_larger_than_n_and_wide(spark):
     assert dist.shape == (3, 5) and ids[0, 4] == 4294967295
 
 
+def test_grid_with_far_and_clustered_queries(spark):
+    r = np.random.default_rng(5)
+    p = np.vstack([r.random((400, 3)) * 0.02, r.random((300, 3)), [[0.5, 0.5, 0.5]] * 9])
+    q = np.vstack([r.random((20, 3)), [[9.0, 9.0, 9.0], [-3.0, 0.1, 0.2], [0.5, 0.5, 0.5]]])
+    pts, qs = src.points_from_numpy(spark, p), src.points_from_numpy(spark, q)
+    for k in (1, 5):
+        rows = knn_join(qs, pts, k, strategy="grid").orderBy("qid", "rank").toPandas()
+        ids, dist = naive(p, q, k)
+        assert rows["id"].tolist() == ids.ravel().tolist() and np.allclose(rows["dist"], dist.ravel())
+    few = src.points_from_numpy(spark, p[:3])
+    assert knn_join(qs, few, 5, strategy="grid").count() == 3 * len(q)
+    near = knn_join(pts, pts, 1, strategy="grid", exclude_self=True).filter("qid = id")
+    assert near.count() == 0
+
+
 def test_bad_arguments(spark):
     pts = src.points_from_numpy(spark, cloud(5))
     with pytest.raises(ValueError):
