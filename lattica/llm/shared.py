@@ -2,33 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lattica.sources.scratch import folder, written
 
-def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where it is unset, as in tests on one machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="lattica-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def written(df: DataFrame, partition: str | None = None) -> DataFrame:
-    """The same rows, written as Parquet to the shared folder and read again: lineage ends here, and a lost executor
-    costs no more than the tasks it ran. Rows that depend on a task's own state are fixed from here on."""
-    spark = df.sparkSession
-    path = f"{folder(spark)}/lattica-{uuid.uuid4().hex}"
-    out = df.write.option("compression", "zstd")
-    (out.partitionBy(partition) if partition else out).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["column_or_null", "folder", "id_and_text", "parallelism", "struct", "written"]
 
 
 def parallelism(spark: SparkSession) -> int:
