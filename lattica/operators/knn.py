@@ -6,13 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.metrics import AXES, L2, metric_for
-from lattica.operators.index import MAX_CELLS, SpatialIndex
+from lattica.operators.index import SpatialIndex
 from lattica.sources.scratch import written
 
 #: Point tables up to so many rows may be compared with every query.
 BRUTE_LIMIT = 20_000
-#: Points of an index cell up to which the index is used; larger tables are joined by a grid without a bound on its cells.
-DENSE = 1_000
 #: Cells on each side that the grid's second round may look at.
 RINGS = 6
 
@@ -137,16 +135,15 @@ def knn_grid(queries: DataFrame, points: DataFrame, k: int = 1, boxsize: float |
 
 
 def knn_join(queries: DataFrame, points: DataFrame | SpatialIndex, k: int = 1, boxsize: float | None = None, exclude_self: bool = False, strategy: str = "auto", leafsize: int = 128) -> DataFrame:
-    """Picks the plan by the number of points: nested loop below BRUTE_LIMIT, then the index, and beyond DENSE points for each
-    of its cells the grid. strategy: auto, brute, index or grid."""
+    """Picks the plan by the number of points: nested loop up to BRUTE_LIMIT, the grid beyond. strategy: auto, brute, index or
+    grid; a SpatialIndex is used as it is."""
     _check_k(k)
     if isinstance(points, SpatialIndex):
         return knn_pruned(queries, points, k, exclude_self)
     if strategy not in ("auto", "brute", "index", "grid"):
         raise ValueError(f"unknown strategy {strategy!r}")
     if strategy == "auto":
-        n = points.count()
-        strategy = "brute" if n <= BRUTE_LIMIT else "index" if n <= MAX_CELLS * DENSE else "grid"
+        strategy = "brute" if points.limit(BRUTE_LIMIT + 1).count() <= BRUTE_LIMIT else "grid"
     if strategy == "brute":
         return knn_brute(queries, points, k, boxsize, exclude_self)
     if strategy == "grid":

@@ -69,7 +69,13 @@ def _big(slices: DataFrame, grid: Sequence[int], s: int, footprint: str, keys: S
         near = d * d if near is None else near + d * d
     n = _overlap(F.col("X") - F.col("ix"), F.col("Y") - F.col("iy"), zo + 0.5, r * r, s)
     value = F.col("w") / (F.lit(4.0 / 3.0 * math.pi) * r * r * r) * (F.col("n") / F.lit(float(s**3)))
-    return cells.filter(near < r * r).withColumn("n", n).filter("n > 0").select(*keys, value.alias("value"))
+    return cells.filter(near < r * r).withColumn("n", n).select(*keys, value.alias("value"), F.col("n").alias("hits"))
+
+
+def _total(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Sums by cell. Cells without a sample point inside go here: a filter before the sums would be pushed below the count of
+    sample points, which would then be made twice."""
+    return cells.groupBy(*keys).agg(F.sum("value").alias("value"), F.max("hits").alias("hits")).filter("hits > 0").select(*keys, "value")
 
 
 def _inside(c: str, size: int) -> Column:
@@ -86,12 +92,12 @@ def render_points_volume(vertices: DataFrame, pixels_per_unit: float, grid_size:
     keys = ["ix", "iy", "iz"]
     small = (
         px.filter("R < 0.5")
-        .select(F.floor("X").cast("int").alias("ix"), F.floor("Y").cast("int").alias("iy"), (F.ceil("Z") - 1).cast("int").alias("iz"), F.col("w").alias("value"))
+        .select(F.floor("X").cast("int").alias("ix"), F.floor("Y").cast("int").alias("iy"), (F.ceil("Z") - 1).cast("int").alias("iz"), F.col("w").alias("value"), F.lit(1).alias("hits"))
         .filter(_inside("ix", gx) & _inside("iy", gy) & _inside("iz", gz))
     )
     slices = px.filter("R >= 0.5").withColumn("iz", F.explode(_reach(F.col("Z"), F.col("R") + 1, gz))).withColumn("zo", F.col("Z") - (F.col("iz") + 0.5))
     cells = small.unionByName(_big(slices, grid, subsample_factor, footprint, keys))
-    return cells.groupBy(*keys).agg(F.sum("value").alias("value"))
+    return _total(cells, keys)
 
 
 def render_points(vertices: DataFrame, pixels_per_unit: float, grid_size: int | Sequence[int], periodic: bool | float | Sequence[float] = False, footprint: str = "reference") -> DataFrame:
@@ -103,11 +109,11 @@ def render_points(vertices: DataFrame, pixels_per_unit: float, grid_size: int |
     near = (F.col("R") - F.abs("zo") + 1 >= 0) & (F.col("Z") > -0.5 * pixels_per_unit) & (F.col("Z") <= 0.5 * pixels_per_unit)
     small = (
         px.filter("R < 0.5").filter(near)
-        .select(F.floor("X").cast("int").alias("ix"), F.floor("Y").cast("int").alias("iy"), F.col("w").alias("value"))
+        .select(F.floor("X").cast("int").alias("ix"), F.floor("Y").cast("int").alias("iy"), F.col("w").alias("value"), F.lit(1).alias("hits"))
         .filter(_inside("ix", gx) & _inside("iy", gy))
     )
     cells = small.unionByName(_big(px.filter("R >= 0.5"), grid, 4, footprint, keys))
-    return cells.groupBy(*keys).agg(F.sum("value").alias("value"))
+    return _total(cells, keys)
 
 
 class Renderer:
