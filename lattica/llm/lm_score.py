@@ -27,6 +27,8 @@ from lattica.llm.text import U, Words, mix, pack, pieces
 CELLS, RANGES, CLASSES, HIDDEN, SIDE = 1 << 17, 16, 64, 24, 2
 #: One word of so many is masked in training; passes over the corpus; places of a gradient step.
 MASK, ROUNDS, STEP = 24, 2, 512
+#: Step size of the first round; later rounds divide it by their number.
+RATE = 1.0
 _BRANCH = 16
 
 
@@ -124,12 +126,12 @@ def classes_of(counts: np.ndarray, classes: int = CLASSES) -> np.ndarray:
     return out
 
 
-def _train(network: Network, table: np.ndarray, side: int, mask: int, round_: int):
+def _train(network: Network, table: np.ndarray, side: int, mask: int, round_: int, rate: float):
     """One round over a task's documents: weights after it times the masked places, and their number last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Network(*(a.copy() for a in network.arrays()))
-        edge, n, rate = network.out.shape[1], 0, np.float32(1.0 / (1 + round_))
+        edge, n, step = network.out.shape[1], 0, np.float32(rate / (1 + round_))
         for batch in batches:
             for part in pieces(batch, "text"):
                 w = Words(part.column("text"))
@@ -139,7 +141,7 @@ def _train(network: Network, table: np.ndarray, side: int, mask: int, round_: in
                 at = np.flatnonzero(mix(around + U(round_)) % U(mask) == 0)
                 for i in range(0, len(at), STEP):
                     some = at[i : i + STEP]
-                    net.step(_contexts(c, w.doc, some, side, edge), c[some], rate)
+                    net.step(_contexts(c, w.doc, some, side, edge), c[some], step)
                 n += len(at)
         flat = np.concatenate([a.ravel() for a in net.arrays()]).astype(np.float64)
         data = pack(np.append(flat * n, n))
@@ -148,13 +150,13 @@ def _train(network: Network, table: np.ndarray, side: int, mask: int, round_: in
     return run
 
 
-def train(text: DataFrame, counts: np.ndarray, classes: int = CLASSES, hidden: int = HIDDEN, side: int = SIDE, mask: int = MASK, rounds: int = ROUNDS) -> tuple[Network, np.ndarray]:
+def train(text: DataFrame, counts: np.ndarray, classes: int = CLASSES, hidden: int = HIDDEN, side: int = SIDE, mask: int = MASK, rounds: int = ROUNDS, rate: float = RATE) -> tuple[Network, np.ndarray]:
     table = classes_of(counts, classes)
     mass = np.bincount(table, counts, classes) + 1
     net = Network.new(classes, hidden, side, np.log(mass / mass.sum()))
     tasks = max(1, text.rdd.getNumPartitions())
     for r in range(rounds):
-        level = text.mapInArrow(_train(net, table, side, mask, r), "slot int, data binary")
+        level = text.mapInArrow(_train(net, table, side, mask, r, rate), "slot int, data binary")
         n = tasks
         while n > _BRANCH:
             n = -(-n // _BRANCH)
@@ -174,7 +176,7 @@ def train(text: DataFrame, counts: np.ndarray, classes: int = CLASSES, hidden: i
     return net, table
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: int = CLASSES, hidden: int = HIDDEN, side: int = SIDE, mask: int = MASK, rounds: int = ROUNDS) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: int = CLASSES, hidden: int = HIDDEN, side: int = SIDE, mask: int = MASK, rounds: int = ROUNDS, rate: float = RATE) -> DataFrame:
     """doc_id, n_words, log_likelihood (natural, summed over the words), per_word (0 for a text without words) for every row.
 
     A null text has no words. The model is trained on these same documents. An empty table gives no rows. Other columns
@@ -182,7 +184,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", class
     """
     text = docs.select(column_or_null(docs, id_col, "long").alias("doc_id"), column_or_null(docs, text_col, "string").alias("text"))
     counts = word_counts(text)
-    net, table = train(text, counts, classes, hidden, side, mask, rounds)
+    net, table = train(text, counts, classes, hidden, side, mask, rounds, rate)
     mass = np.bincount(table, counts + 1, classes)
     within = (np.log(counts + 1) - np.log(mass[table])).astype(np.float32)
 
