@@ -3,9 +3,13 @@
 Every window of L words has an anchor, the k-gram in it with the smallest hash, so equal windows have equal anchors. Windows
 of a text that share an anchor are one segment. Anchors are counted over the whole corpus, packed and dealt by hash; only
 segments whose anchor occurs again are then dealt out with their words, by anchor, so a shard holds every window that could
-equal another of its own. Equal segments of a task travel once. An engine (FM-index or sparse suffix array) says which windows
-of a shard's distinct segments occur again. Very common anchors (a line in a third of the texts) are dealt by longer contexts of
-both halves of their windows, which splits them without losing an equal pair.
+equal another of its own. An engine (FM-index or sparse suffix array) says which windows of a shard's distinct segments occur
+again. Very common anchors (a line in a third of the texts) are dealt by longer contexts of both halves of their windows, which
+splits them without losing an equal pair.
+
+Both times, tasks work in packs: a pack sends each distinct anchor or segment once, with its count, and keeps where it occurs
+to itself, in a row of its own. Answers come back by pack. So an anchor or passage that a third of the texts hold reaches one
+task as at most one entry a pack, and nothing is grouped by its occurrences.
 
 Words travel as 32 bits of their hash; windows are equal if all L are.
 """
@@ -17,6 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +31,7 @@ from lattica.llm.text import U, Words, mix, pack, pieces, span_hash
 #: Occurrences from which an anchor's segments are dealt by longer contexts; bytes up to which a looked-up side is broadcast.
 HOT, SMALL_SIDE = 2_000, 32 << 20
 _POS = 26
-#: Anchors or segment words that a task packs at a time.
+#: Anchors of a pack; a pack of segments is closed at four times as many words of its texts.
 PACK = 1 << 20
 
 
@@ -64,19 +69,39 @@ class Segments:
         self.number = np.arange(len(cut)) - begins[self.doc]
 
 
-def _find(length: int, k: int, p_n: int):
-    """(part, packed anchors with their text and number)."""
+#: Both tables of packs. kind 0: where the entries of a pack occur; kind 1: what it sends to part p.
+_ANCHORS = "kind int, pack long, p int, key binary, number binary, entry binary, h binary, n binary"
+_ANCHOR_NAMES = ["kind", "pack", "p", "key", "number", "entry", "h", "n"]
+
+
+def _table(names: list[str], rows: list[dict], wide: bool = False):
+    """Rows of packed arrays; fields that a row lacks are null."""
+    kinds = {"kind": pa.int32(), "p": pa.int32(), "pack": pa.int64()}
+    cols = [pa.array([r.get(c) for r in rows], type=kinds.get(c, pa.binary())) for c in names]
+    return (pa.Table if wide else pa.RecordBatch).from_arrays(cols, names=names)
+
+
+def _column(table: pa.Table, name: str, kind) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x, dtype=kind) for x in table.column(name).to_pylist()])
+
+
+def _find(length: int, k: int, p_n: int, per_pack: int):
+    """Packs of anchors: their texts and numbers stay, distinct anchors and their counts go to parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, at = [], 0, TaskContext.get().partitionId() << 32
 
         def flush():
             h, key, number = (np.concatenate([x[i] for x in held]) for i in range(3))
-            part = (mix(h) % U(p_n)).astype(np.int64)
+            distinct, inverse, n = np.unique(h, return_inverse=True, return_counts=True)
+            part = (mix(distinct) % U(p_n)).astype(np.int64)
             order = np.argsort(part, kind="stable")
-            part, h, key, number = part[order], h[order], key[order], number[order]
-            rows = [(int(part[a]), pack(h[a:b]), pack(key[a:b]), pack(number[a:b].astype(np.uint32))) for a, b in _runs(part)]
-            return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["p", "h", "key", "number"])
+            rows = [{"kind": 0, "pack": at, "key": pack(key), "number": pack(number.astype(np.uint32)), "entry": pack(inverse.astype(np.uint32))}]
+            part = part[order]
+            for a, b in _runs(part):
+                o = order[a:b]
+                rows.append({"kind": 1, "pack": at, "p": int(part[a]), "h": pack(distinct[o]), "n": pack(n[o].astype(np.uint32)), "entry": pack(o.astype(np.uint32))})
+            return _table(_ANCHOR_NAMES, rows)
 
         for batch in batches:
             for part in pieces(batch, "text"):
@@ -85,59 +110,65 @@ def _find(length: int, k: int, p_n: int):
                 if len(s.first):
                     held.append((s.hash, keys[s.doc], s.number))
                     size += len(s.first)
-                if size >= PACK:
+                if size >= per_pack:
                     yield flush()
-                    held, size = [], 0
+                    held, size, at = [], 0, at + 1
         if held:
             yield flush()
 
     return run
 
 
-def _again(p_n: int, hot: int):
-    """Anchors of one part that occur again, dealt back by text: number, and the top bit where the anchor is very common."""
+def _packs_of(table: pa.Table, name: str) -> np.ndarray:
+    """The pack of each entry of the rows' 4-byte columns."""
+    return np.repeat(table.column("pack").to_numpy(), [len(x) // 4 for x in table.column(name).to_pylist()])
+
+
+def _again(hot: int):
+    """Anchors of one part that occur again, as entries of their packs, with the top bit where the anchor is very common."""
 
     def run(table: pa.Table) -> pa.Table:
-        h = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in table.column("h").to_pylist()])
-        key = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in table.column("key").to_pylist()])
-        number = np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in table.column("number").to_pylist()])
+        h, n, entry, packs = _column(table, "h", np.uint64), _column(table, "n", np.uint32).astype(np.int64), _column(table, "entry", np.uint32), _packs_of(table, "entry")
         order = np.argsort(h)
-        s = h[order]
-        first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-        n = np.diff(np.append(first, len(s)))
-        each = np.repeat(n, n)
-        order, each = order[each > 1], each[each > 1]
-        key, number = key[order], number[order] | np.where(each > hot, np.uint32(1 << 31), np.uint32(0))
-        part = (mix(key.view(np.uint64)) % U(p_n)).astype(np.int64)
-        order = np.lexsort((key, part))
-        part, key, number = part[order], key[order], number[order]
-        rows = [(int(part[a]), pack(key[a:b]), pack(number[a:b])) for a, b in _runs(part)]
-        cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
-        return pa.Table.from_arrays([pa.array(list(c), type=t) for c, t in zip(cols, (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["p", "key", "number"])
+        first = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
+        total = np.empty(len(h), dtype=np.int64)
+        total[order] = np.repeat(np.add.reduceat(n[order], first), np.diff(np.append(first, len(h))))
+        twice = np.flatnonzero(total > 1)
+        twice = twice[np.argsort(packs[twice], kind="stable")]
+        packs, entry = packs[twice], entry[twice] | np.where(total[twice] > hot, np.uint32(1 << 31), np.uint32(0))
+        return _table(_ANCHOR_NAMES, [{"kind": 2, "pack": int(packs[a]), "entry": pack(entry[a:b])} for a, b in _runs(packs)], True)
 
     return run
 
 
 def _by_text(table: pa.Table) -> pa.Table:
-    key = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in table.column("key").to_pylist()])
-    number = np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in table.column("number").to_pylist()])
-    order = np.argsort(key, kind="stable")
-    key, number = key[order], number[order]
-    rows = [(int(key[a]), pack(np.unique(number[a:b]))) for a, b in _runs(key)]
+    """A pack's answers, by text: numbers of its segments, and the top bit where the anchor is very common."""
+    kind = table.column("kind").to_numpy()
+    here, told = table.filter(pa.array(kind == 0)), table.filter(pa.array(kind == 2))
+    rows = []
+    if len(told):
+        key, number, entry = _column(here, "key", np.int64), _column(here, "number", np.uint32), _column(here, "entry", np.uint32)
+        answer, said = np.zeros(int(entry.max()) + 1, dtype=np.uint8), _column(told, "entry", np.uint32)
+        answer[said & np.uint32((1 << 31) - 1)] = 1 + (said >> np.uint32(31))
+        got = answer[entry]
+        asked = np.flatnonzero(got)
+        asked = asked[np.argsort(key[asked], kind="stable")]
+        key, number = key[asked], number[asked] | np.where(got[asked] > 1, np.uint32(1 << 31), np.uint32(0))
+        rows = [(int(key[a]), pack(np.unique(number[a:b]))) for a, b in _runs(key)]
     cols = list(zip(*rows, strict=True)) if rows else [[], []]
     return pa.Table.from_arrays([pa.array(list(c), type=t) for c, t in zip(cols, (pa.int64(), pa.binary()), strict=True)], names=["key", "numbers"])
 
 
-_SEGMENTS = "p int, anchors binary, lengths binary, before binary, words binary, which binary, keys binary, starts binary"
-_NAMES = ["p", "anchors", "lengths", "before", "words", "which", "keys", "starts"]
+_SEGMENTS = "kind int, pack long, p int, key binary, start binary, entry binary, anchors binary, lengths binary, before binary, words binary, many binary, runs binary"
+_NAMES = [c.split()[0] for c in _SEGMENTS.split(", ")]
 
 
-def _deal(length: int, k: int, p_n: int):
-    """Segments asked for, by anchor: distinct word sequences, and where each occurs."""
+def _deal(length: int, k: int, p_n: int, per_pack: int):
+    """Packs of the segments asked for: where they occur stays, distinct word sequences go to parts by anchor."""
     half = (length - k + 1) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, at_pack = [], 0, TaskContext.get().partitionId() << 32
 
         def flush():
             route, first, lens, key, at, before = (np.concatenate([x[i] for x in held]) for i in range(6))
@@ -148,15 +179,20 @@ def _deal(length: int, k: int, p_n: int):
             part = (mix(route) % U(p_n)).astype(np.int64)
             order = np.lexsort((content, part))
             fresh = np.concatenate([[True], (content[order][1:] != content[order][:-1]) | (part[order][1:] != part[order][:-1])])
-            rows = []
-            for a, b in _runs(part[order]):
-                o, new = order[a:b], fresh[a:b].copy()
-                new[0] = True
-                d = o[new]
+            entry = np.empty(len(order), dtype=np.int64)
+            entry[order] = np.cumsum(fresh) - 1
+            count = np.bincount(entry)
+            rows = [{"kind": 0, "pack": at_pack, "key": pack(key), "start": pack(at.astype(np.uint32)), "entry": pack(entry.astype(np.uint32))}]
+            distinct = order[fresh]
+            for a, b in _runs(part[distinct]):
+                d = distinct[a:b]
                 n = lens[d]
                 spots = np.repeat(first[d] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                rows.append((int(part[o[0]]), pack(route[d]), pack(n.astype(np.uint8)), pack(before[d].astype(np.uint8)), pack(codes[spots]), pack((np.cumsum(new) - 1).astype(np.uint32)), pack(key[o]), pack(at[o].astype(np.uint32))))
-            return pa.RecordBatch.from_arrays([pa.array(c, type=pa.binary() if i else pa.int32()) for i, c in enumerate(zip(*rows, strict=True))], names=_NAMES)
+                rows.append({
+                    "kind": 1, "pack": at_pack, "p": int(part[d[0]]), "entry": pack(np.arange(a, b, dtype=np.uint32)), "anchors": pack(route[d]), "lengths": pack(n.astype(np.uint8)),
+                    "before": pack(before[d].astype(np.uint8)), "words": pack(codes[spots]), "many": pack((count[a:b] > 1).astype(np.uint8)),
+                })
+            return _table(_NAMES, rows)
 
         for batch in batches:
             for part in pieces(batch, "text"):
@@ -192,35 +228,26 @@ def _deal(length: int, k: int, p_n: int):
                         lo, hi = lo[mask], hi[mask]
                         held.append((route[mask], lo, hi - lo + length, keys[s.doc[pick][mask]], lo - w.first[s.doc[pick][mask]], anchor[mask] - lo, codes))
                         size += len(codes)
-                if size >= 4 * PACK:
+                if size >= 4 * per_pack:
                     yield flush()
-                    held, size = [], 0
+                    held, size, at_pack = [], 0, at_pack + 1
         if held:
             yield flush()
 
     return run
 
 
-def _shard(length: int, engine: Callable, k: int, p_n: int):
-    """Windows of one part that occur again, as (text, first word, windows in a row) packed by text."""
+def _shard(length: int, engine: Callable, k: int):
+    """Windows of one part that occur again, as (entry, first window, word after the last) of the packs that hold them."""
 
     def run(table: pa.Table) -> pa.Table:
-        cols, base = [[] for _ in range(6)], 0
-        words = []
-        for r in zip(*(table.column(c).to_pylist() for c in _NAMES[1:]), strict=True):
-            route, n, before = np.frombuffer(r[0], dtype=np.uint64), np.frombuffer(r[1], dtype=np.uint8), np.frombuffer(r[2], dtype=np.uint8)
-            for c, v in zip(cols, (route, n.astype(np.int64), before.astype(np.int64), np.frombuffer(r[4], dtype=np.uint32).astype(np.int64) + base, np.frombuffer(r[5], dtype=np.int64), np.frombuffer(r[6], dtype=np.uint32)), strict=True):
-                c.append(v)
-            words.append(np.frombuffer(r[3], dtype=np.uint32))
-            base += len(route)
-        route, n, before, which, keys, starts = (np.concatenate(c) for c in cols)
-        words = np.concatenate(words)
-        # segments of several tasks can be the same
+        route, n, before = _column(table, "anchors", np.uint64), _column(table, "lengths", np.uint8).astype(np.int64), _column(table, "before", np.uint8).astype(np.int64)
+        words, entry, packs = _column(table, "words", np.uint32), _column(table, "entry", np.uint32), _packs_of(table, "entry")
+        # segments of several packs can be the same
         first = np.concatenate([[0], np.cumsum(n)[:-1]])
         content = span_hash(words.astype(np.uint64), first, first + n) ^ mix(route + before.astype(np.uint64))
-        distinct, at, inverse = np.unique(content, return_index=True, return_inverse=True)
-        which = inverse[which]
-        many = np.bincount(which, minlength=len(distinct)) > 1
+        distinct, at, which = np.unique(content, return_index=True, return_inverse=True)
+        many = np.bincount(which, _column(table, "many", np.uint8) + 1, len(distinct)) > 1
         route, n, before, first = route[at], n[at], before[at], first[at]
         windows = n - length + 1
         offsets = np.concatenate([[0], np.cumsum(windows)])
@@ -234,7 +261,7 @@ def _shard(length: int, engine: Callable, k: int, p_n: int):
             gid = group[size > 1]
             # a segment can't hold a window twice: its windows share the place of their anchor
             engine(words, first[met], n[met], before[met], gid, length, k, again, offsets[met])
-        # runs of repeated windows of each segment, for each of its occurrences
+        # runs of repeated windows of each segment, for each pack that has it
         edge = again.copy()
         edge[1:] &= ~again[:-1]
         edge[offsets[:-1]] = again[offsets[:-1]]
@@ -245,35 +272,41 @@ def _shard(length: int, engine: Callable, k: int, p_n: int):
         ends = np.flatnonzero(stop)
         run_end = ends[np.searchsorted(ends, run_at, side="right")] if len(run_at) else run_at
         of = np.searchsorted(offsets, run_at, side="right") - 1
-        count = np.bincount(of, minlength=len(distinct))
-        begin = np.concatenate([[0], np.cumsum(count)])
-        occ = np.flatnonzero(count[which])
-        reps = count[which[occ]]
-        pos = np.repeat(begin[which[occ]], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-        key = np.repeat(keys[occ], reps)
-        lo = np.repeat(starts[occ].astype(np.int64), reps) + run_at[pos] - offsets[of[pos]]
-        hi = lo + (run_end[pos] - run_at[pos]) + length - 1
-        part = (mix(key.view(np.uint64)) % U(p_n)).astype(np.int64)
-        order = np.lexsort((key, part))
-        part, key, lo, hi = part[order], key[order], lo[order], hi[order]
-        rows = [(int(part[a]), pack(key[a:b]), pack(np.stack([lo[a:b], hi[a:b]], 1).astype(np.uint32))) for a, b in _runs(part)]
-        out = list(zip(*rows, strict=True)) if rows else [[], [], []]
-        return pa.Table.from_arrays([pa.array(list(c), type=t) for c, t in zip(out, (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["p", "key", "spans"])
+        lo, hi = run_at - offsets[of], run_end - offsets[of] + length - 1
+        held = np.argsort(packs, kind="stable")
+        pos, reps = _each(of, len(distinct), which[held])
+        told = np.stack([np.repeat(entry[held], reps), lo[pos], hi[pos]], 1).astype(np.uint32)
+        packs = np.repeat(packs[held], reps)
+        return _table(_NAMES, [{"kind": 2, "pack": int(packs[a]), "runs": pack(told[a:b])} for a, b in _runs(packs)], True)
 
     return run
 
 
+def _each(of: np.ndarray, n: int, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the entries that belong to each of `which` in turn, `of` being sorted, and how many each has."""
+    count = np.bincount(of, minlength=n)
+    begin, reps = np.concatenate([[0], np.cumsum(count)])[which], count[which]
+    return np.repeat(begin, reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps), reps
+
+
 def _merge_spans(table: pa.Table) -> pa.Table:
-    key = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in table.column("key").to_pylist()])
-    spans = np.concatenate([np.frombuffer(x, dtype=np.uint32).reshape(-1, 2) for x in table.column("spans").to_pylist()]).astype(np.int64)
-    order = np.lexsort((spans[:, 0], key))
-    key, spans = key[order], spans[order]
+    """A pack's answers, by text: spans of words that go."""
+    kind = table.column("kind").to_numpy()
+    here, told = table.filter(pa.array(kind == 0)), table.filter(pa.array(kind == 2))
     rows = []
-    for a, b in _runs(key):
-        lo, hi = spans[a:b, 0], np.maximum.accumulate(spans[a:b, 1])
-        cut = np.concatenate([[True], lo[1:] > hi[:-1]])
-        ends = np.append(np.flatnonzero(cut)[1:], b - a) - 1
-        rows.append((int(key[a]), pack(np.stack([lo[cut], hi[ends]], 1).astype(np.uint32))))
+    if len(told):
+        key, start, entry = _column(here, "key", np.int64), _column(here, "start", np.uint32).astype(np.int64), _column(here, "entry", np.uint32)
+        runs = np.concatenate([np.frombuffer(x, dtype=np.uint32).reshape(-1, 3) for x in told.column("runs").to_pylist()]).astype(np.int64)
+        runs = runs[np.argsort(runs[:, 0], kind="stable")]
+        pos, reps = _each(runs[:, 0], int(entry.max()) + 1, entry)
+        key, spans = np.repeat(key, reps), runs[pos, 1:] + np.repeat(start, reps)[:, None]
+        order = np.lexsort((spans[:, 0], key))
+        key, spans = key[order], spans[order]
+        for a, b in _runs(key):
+            lo, hi = spans[a:b, 0], np.maximum.accumulate(spans[a:b, 1])
+            cut = np.concatenate([[True], lo[1:] > hi[:-1]])
+            ends = np.append(np.flatnonzero(cut)[1:], b - a) - 1
+            rows.append((int(key[a]), pack(np.stack([lo[cut], hi[ends]], 1).astype(np.uint32))))
     cols = list(zip(*rows, strict=True)) if rows else [[], []]
     return pa.Table.from_arrays([pa.array(list(c), type=t) for c, t in zip(cols, (pa.int64(), pa.binary()), strict=True)], names=["key", "spans"])
 
@@ -316,7 +349,7 @@ def _kept(with_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, engine: Callable, length: int, k: int, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, engine: Callable, length: int, k: int, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, hot: int = HOT, per_pack: int = PACK) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every row; with_text adds the kept text and the removed word spans.
 
     A word goes if it lies in a window of `length` words whose sequence also starts elsewhere in the corpus, the same text
@@ -328,11 +361,14 @@ def remove_repeats(docs: DataFrame, engine: Callable, length: int, k: int, id_co
     p_n = parallelism(docs.sparkSession)
     text = docs.select(column_or_null(docs, id_col, "long").alias("doc_id"), column_or_null(docs, text_col, "string").alias("text"))
     text = text.withColumn("key", F.xxhash64("doc_id", "text"))
-    found = text.select("key", "text").mapInArrow(_find(length, k, p_n), "p int, h binary, key binary, number binary")
-    again = found.groupBy("p").applyInArrow(_again(p_n, hot), "p int, key binary, number binary")
-    asked = written(again.groupBy("p").applyInArrow(_by_text, "key long, numbers binary"))
-    dealt = text.select("key", "text").join(_small(asked, "numbers"), "key").mapInArrow(_deal(length, k, p_n), _SEGMENTS)
-    shards = dealt.groupBy("p").applyInArrow(_shard(length, engine, k, p_n), "p int, key binary, spans binary")
-    spans = written(shards.groupBy("p").applyInArrow(_merge_spans, "key long, spans binary"))
+    # a text is within one pack; rows alike in id and text have one key, and the same answers
+    found = written(text.select("key", "text").mapInArrow(_find(length, k, p_n, per_pack), _ANCHORS))
+    again = found.filter("kind = 1").groupBy("p").applyInArrow(_again(hot), _ANCHORS)
+    asked = found.filter("kind = 0").unionByName(again).groupBy("pack").applyInArrow(_by_text, "key long, numbers binary")
+    asked = written(asked.groupBy("key").agg(F.first("numbers").alias("numbers")))
+    dealt = written(text.select("key", "text").join(_small(asked, "numbers"), "key").mapInArrow(_deal(length, k, p_n, per_pack), _SEGMENTS))
+    shards = dealt.filter("kind = 1").groupBy("p").applyInArrow(_shard(length, engine, k), _SEGMENTS)
+    spans = dealt.filter("kind = 0").unionByName(shards).groupBy("pack").applyInArrow(_merge_spans, "key long, spans binary")
+    spans = written(spans.groupBy("key").agg(F.first("spans").alias("spans")))
     kept = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string, removed array<struct<first:int,end:int>>" if with_text else "")
     return text.join(_small(spans, "spans"), "key", "left").select("doc_id", "text", "spans").mapInArrow(_kept(with_text), kept)

@@ -138,6 +138,17 @@ def test_repeats_equal_brute_force(docs, rows, operator, length, anchor, hot):
     assert any(r[2] for r in got)
 
 
+@pytest.mark.parametrize("operator", [fm_dedup.fm_dedup, suffix_dedup.suffix_dedup])
+@pytest.mark.parametrize("hot, per_pack", [(2000, 1), (5, 40)])
+def test_repeats_of_a_hot_passage_in_many_packs(spark, operator, hot, per_pack):
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(i, f"{i} a{i} {passage} b{i % 7} " + (f"{passage} {passage}" if i % 5 == 0 else "")) for i in range(90)]
+    rows += [rows[4], rows[4], (200, passage), (201, passage)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted(map(tuple, operator(df, 12, 4, hot=hot, per_pack=per_pack).collect()))
+    assert got == brute_repeats(rows, 12) and all(r[2] for r in got)
+
+
 @pytest.mark.parametrize("operator", [fm_dedup.fm_dedup, suffix_dedup.suffix_dedup])
 def test_repeats_within_a_text_and_odd(spark, odd, empty, operator):
     lines = " ".join(["a b c d"] * 30)
