@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate, islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,8 @@ KINDS = ("email", "ip", "card", "phone")
 #: Words on each side of an entity that may reveal it; share of the entity's information from which a word discloses it;
 #: distinct contexts that must show a word together with an entity.
 REACH, THRESHOLD, SUPPORT = 6, 0.5, 3
+#: Characters on each side that these words are sought in, for each of them; a word that ends beyond isn't one of them.
+WIDTH = 40
 #: Bits of the bitmap of words near entities.
 BITS = 1 << 23
 
@@ -94,6 +98,22 @@ def _term(word: str) -> str:
     return word.strip(".,;:!?\"'()[]{}<>|*#$%&").lower()
 
 
+def _around(text: str, spans: list[tuple[int, int, int]], reach: int) -> Iterator[tuple[int, int, int, list[tuple[re.Match, str]]]]:
+    """(start, kind, end) of each span with the words within reach of it that no span overlaps. Time is linear in the spans."""
+    starts = [a for a, _, _ in spans]
+    furthest = list(accumulate((b for _, _, b in spans), max))
+    for a, k, b in spans:
+        low, high = max(0, a - WIDTH * reach), min(len(text), b + WIDTH * reach)
+        left = [m for m in _WORD.finditer(text, low, a) if m.start() > low or not low or not _WORD.match(text[low - 1])][-reach:]
+        right = [m for m in islice(_WORD.finditer(text, b, high), reach) if m.end() < high or high == len(text) or not _WORD.match(text[high])]
+        near = []
+        for m in (*left, *right):
+            before = bisect_left(starts, m.end())  # spans that start before the word ends
+            if (not before or furthest[before - 1] <= m.start()) and (t := _term(m[0])) and not t.isdigit():
+                near.append((m, t))
+        yield a, k, b, near
+
+
 def _find(reach: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         empty = hashlib.sha256(b"").hexdigest()
@@ -107,14 +127,7 @@ def _find(reach: int):
                     base.append(joined)
                     digest.append(hashlib.sha256(joined.encode()).hexdigest() if joined else empty)
                     near = []
-                    for a, k, b in spans:
-                        # words of the text within reach of the entity that no entity overlaps
-                        left = [m for m in _WORD.finditer(text, max(0, a - 40 * reach), a) if m.end() <= a][-reach:]
-                        right, m = [], _WORD.match(text, b) or _WORD.search(text, b)
-                        while m is not None and len(right) < reach and m.start() < b + 40 * reach:
-                            right.append(m)
-                            m = _WORD.search(text, m.end())
-                        around = [(m, t) for m in (*left, *right) if (t := _term(m[0])) and not t.isdigit() and not any(x < m.end() and m.start() < y for x, _, y in spans)]
+                    for a, k, b, around in _around(text, spans, reach):
                         entity, context = _key(f"{KINDS[k]}:{text[a:b]}"), _key(" ".join(t for _, t in around))
                         near += [{"entity": entity, "context": context, "term": _key(t), "start": m.start(), "end": m.end()} for m, t in around]
                     terms.append(near)

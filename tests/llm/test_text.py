@@ -177,6 +177,27 @@ def test_base_spans_equal_patterns():
     assert pii.base_spans("a" * 200_000 + "1" * 200_000) == []
 
 
+def test_words_around_entities():
+    import random
+    import time
+
+    r = random.Random(9)
+    for _ in range(300):
+        text = " ".join(r.choice(["a@b.co", "+1 555 123 4567", "4111 1111 1111 1111", "1.2.3.4", "word", "Other,", "x" * 90, "7"]) for _ in range(25))
+        spans = pii.base_spans(text)
+        for a, k, b, near in pii._around(text, spans, 3):
+            assert (a, k, b) in spans
+            for m, t in near:
+                assert not any(x < m.end() and m.start() < y for x, _, y in spans) and t == pii._term(m[0]) and not t.isdigit()
+                assert text[m.start() - 1 : m.start()].strip() == "" or m.start() == b
+                assert text[m.end() : m.end() + 1].strip() == "" or m.end() == a
+    # many entities, with and without spaces between them, and one endless word
+    for text in ("|".join(["a@b.co"] * 30_000), "a@b.co " * 30_000, "a@b.co " + "y" * 1_000_000):
+        started = time.time()
+        assert sum(1 for _ in pii._around(text, pii.base_spans(text), 6)) == text.count("@")
+        assert time.time() - started < 20
+
+
 def test_disclosing_terms(spark, empty, odd):
     rows = [(i, f"{prose(8, i)} shared{i} clearly Rotterdam office writes boss@secret.org about {prose(8, 50 + i)}") for i in range(8)]
     rows += [(100 + i, prose(20, 900 + i) + " clearly nothing") for i in range(150)]
