@@ -197,14 +197,16 @@ def _global(keep: str, budget: int):
 
     def merge(a, b):
         best = a if rank(a) < rank(b) else b
-        return (*best[:2], a[2] + b[2], a[3] + b[3])
+        few, many = sorted((a[3], b[3]), key=len)
+        many.extend(few)  # in place: a group with an owner in every flush stays linear
+        return (*best[:2], a[2] + b[2], many)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = PatriciaTrie(merge, budget)
         for batch in batches:
             ids, uids, n = (batch.column(c).to_pylist() for c in ("doc_id", "_uid", "_n"))
             for key, uid, k, text in zip(ids, uids, n, batch.column("text").cast(pa.large_binary()).to_pylist(), strict=True):
-                trie.insert(text or b"", (key, uid, k, (uid,)))
+                trie.insert(text or b"", (key, uid, k, [uid]))
         out: list[list] = [[], [], [], [], []]
 
         def emit():
