@@ -111,7 +111,10 @@ def test_link_sets_sides():
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (102, 101), (7, 7), (200, 201)]
-    got = {r.node: r.root for r in connected(spark.createDataFrame(edges, "u long, v long")).collect()}
+    frame = spark.createDataFrame(edges, "u long, v long")
+    got = {r.node: r.root for r in connected(frame).collect()}
+    assert {r.node: r.root for r in connected(frame, heavy=3).collect()} == got
+    assert {r.node: r.root for r in connected(frame, heavy=1, most=4).collect()} == got
     assert all(got[i] == 0 for i in range(41)) and got[102] == 100 and got[201] == 200 and len(got) == 41 + 3 + 2
     assert connected(spark.createDataFrame([], "u long, v long")).count() == 0
 
