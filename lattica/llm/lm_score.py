@@ -6,7 +6,8 @@ count in the corpus. Summed log-probabilities of all words given their contexts
 
 Counts are of all words of all documents: tasks sum into a table of hashed cells, which is added up by ranges of cells.
 Training runs over all documents too: every task takes gradient steps on masked places of its own documents, and the
-tasks' weights are averaged, in rounds. Partial sums meet in a tree, so no step grows beyond a fixed number of arrays.
+tasks' weights are averaged, in rounds. A place is dealt to a round by its text and its position, and `mask` rounds mask every
+place of every text once. Partial sums meet in a tree, so no step grows beyond a fixed number of arrays.
 """
 
 from __future__ import annotations
@@ -21,12 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.shared import column_or_null
-from lattica.llm.text import U, Words, mix, pack, pieces
+from lattica.llm.text import U, Words, mix, pack, pieces, span_hash
 
 #: Hashed cells of the count table; ranges it is added up in; classes; hidden units; words seen on each side.
 CELLS, RANGES, CLASSES, HIDDEN, SIDE = 1 << 17, 16, 64, 24, 2
-#: One word of so many is masked in training; passes over the corpus; places of a gradient step.
-MASK, ROUNDS, STEP = 24, 2, 512
+#: One word of so many is masked in a round of training; passes over the corpus, as many, so that each place is masked in one of
+#: them; places of a gradient step.
+MASK, ROUNDS, STEP = 2, 2, 512
 #: Step size of the first round; later rounds divide it by their number.
 RATE = 1.0
 _BRANCH = 16
@@ -90,6 +92,13 @@ def _cells(w: Words) -> np.ndarray:
     return (mix(w.hash ^ U(0x1B873593)) & U(CELLS - 1)).astype(np.int64)
 
 
+def _masked(w: Words, mask: int, round_: int) -> np.ndarray:
+    """Words masked in this round: dealt by their text and place in it, not by how texts are dealt to tasks."""
+    text = span_hash(w.hash, w.first[:-1], w.first[1:]) if len(w.doc) else np.zeros(len(w.counts), dtype=np.uint64)
+    place = (np.arange(len(w.doc)) - w.first[w.doc]).astype(np.uint64)
+    return np.flatnonzero(mix(text[w.doc] + mix(place + U(1))) % U(mask) == U(round_ % mask))
+
+
 def _add(column: str, kind):
     """Adds up the packed arrays of a group."""
 
@@ -136,9 +145,7 @@ def _train(network: Network, table: np.ndarray, side: int, mask: int, round_: in
             for part in pieces(batch, "text"):
                 w = Words(part.column("text"))
                 c = table[_cells(w)]
-                # which words are masked depends on the words around, not on how texts are dealt out
-                around = w.hash ^ mix(np.concatenate([w.hash[1:], w.hash[:1]])) if len(c) else w.hash
-                at = np.flatnonzero(mix(around + U(round_)) % U(mask) == 0)
+                at = _masked(w, mask, round_)
                 for i in range(0, len(at), STEP):
                     some = at[i : i + STEP]
                     net.step(_contexts(c, w.doc, some, side, edge), c[some], step)

@@ -1,5 +1,6 @@
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -242,6 +243,18 @@ def test_lm_beats_counts_and_scores_sum(spark, empty, odd):
     assert lm_score.score(empty).count() == 0 and lm_score.score(odd).count() == odd.count()
 
 
+def test_rounds_mask_every_place():
+    """With production parameters: each place is a target once, and a pair of words isn't always met in the same round."""
+    w = Words(pa.array([prose(400, i, vocab=20) for i in range(20)] + ["", "one", None]))
+    rounds = [lm_score._masked(w, lm_score.MASK, r) for r in range(lm_score.ROUNDS)]
+    assert sorted(np.concatenate(rounds).tolist()) == list(range(len(w.doc)))
+    pair = lambda i: (int(w.hash[i]), int(w.hash[i + 1]))
+    seen = Counter(pair(i) for i in range(len(w.doc) - 1))
+    often = {p for p, n in seen.items() if n >= 16}
+    assert len(often) > 50 and all(often <= {pair(i) for i in at if i + 1 < len(w.doc)} for at in rounds)
+    assert len(lm_score._masked(Words(pa.array([None, ""])), 2, 0)) == 0
+
+
 def test_gradient_is_right():
     r = np.random.default_rng(1)
     net = lm_score.Network.new(5, 4, 1, np.zeros(5))
