@@ -5,8 +5,9 @@ it: the information the word gives about the entity (their pointwise mutual info
 entity's own information. Words whose share reaches the disclosure threshold get spans too, and `sanitise` replaces
 entities by their kind and such words by something general, or removes them.
 
-Counts run over all documents: how many distinct contexts an entity has, how many of them hold a word, how many documents
-hold a word at all. Only words near some entity are counted, which a bitmap of fixed size tells apart in every task.
+All counts are of distinct texts: those that hold an entity, an entity and a word near it, a word at all, and all of them. Only
+words near some entity are counted, which a bitmap of fixed size tells apart in every task. Another one tells texts that may
+have copies; their words travel with the text's hash, so that copies count once.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from lattica.llm.text import Words, pieces
 
 KINDS = ("email", "ip", "card", "phone")
 #: Words on each side of an entity that may reveal it; share of the entity's information from which a word discloses it;
-#: distinct contexts that must show a word together with an entity.
+#: distinct texts that must show a word together with an entity.
 REACH, THRESHOLD, SUPPORT = 6, 0.5, 3
 #: Characters on each side that these words are sought in, for each of them; a word that ends beyond isn't one of them.
 WIDTH = 40
@@ -90,8 +91,8 @@ def _key(data: str) -> int:
     return int.from_bytes(hashlib.blake2b(data.encode(), digest_size=8).digest(), "little", signed=True)
 
 
-_TERMS = pa.list_(pa.struct([("entity", pa.int64()), ("context", pa.int64()), ("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
-_FOUND = "key long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, terms array<struct<entity:long,context:long,term:long,start:long,end:long>>"
+_TERMS = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
+_FOUND = "key long, doc_id long, copy long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, terms array<struct<entity:long,term:long,start:long,end:long>>"
 
 
 def _term(word: str) -> str:
@@ -119,36 +120,52 @@ def _find(reach: int):
         empty = hashlib.sha256(b"").hexdigest()
         for batch in batches:
             for part in pieces(batch, "text", 4 << 20):
-                counts, digest, base, terms = [], [], [], []
+                counts, copy, digest, base, terms = [], [], [], [], []
                 for text in part.column("text").to_pylist():
                     spans = base_spans(text) if text and ("@" in text or _DIGIT.search(text)) else []
+                    copy.append(_key(text or ""))
                     counts.append([sum(k == i for _, k, _ in spans) for i in range(4)])
                     joined = ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
                     base.append(joined)
                     digest.append(hashlib.sha256(joined.encode()).hexdigest() if joined else empty)
                     near = []
                     for a, k, b, around in _around(text, spans, reach):
-                        entity, context = _key(f"{KINDS[k]}:{text[a:b]}"), _key(" ".join(t for _, t in around))
-                        near += [{"entity": entity, "context": context, "term": _key(t), "start": m.start(), "end": m.end()} for m, t in around]
+                        entity = _key(f"{KINDS[k]}:{text[a:b]}")
+                        near += [{"entity": entity, "term": _key(t), "start": m.start(), "end": m.end()} for m, t in around]
                     terms.append(near)
                 c = np.array(counts, dtype=np.int64).reshape(-1, 4)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("key"), part.column("doc_id"), *(pa.array(c[:, i]) for i in range(4)), pa.array(digest), pa.array(base), pa.array(terms, type=_TERMS)],
-                    names=["key", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "terms"],
+                    [part.column("key"), part.column("doc_id"), pa.array(copy, type=pa.int64()), *(pa.array(c[:, i]) for i in range(4)), pa.array(digest), pa.array(base), pa.array(terms, type=_TERMS)],
+                    names=["key", "doc_id", "copy", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "terms"],
                 )
 
     return run
 
 
-def _count(bits: np.ndarray):
-    """(term, documents of this task that hold it), for words that the bitmap lets through."""
+def _count(bits: np.ndarray, copied: np.ndarray):
+    """(copy, term, texts of this task that hold it), for words that the bitmap lets through. Copy is null for texts without
+    copies; of others, it is the text's hash, and each of them counts for itself."""
+    kinds = (pa.int64(), pa.int64(), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names: dict[int, int] = {}  # word hash to term key, 0 if it isn't near an entity
         totals: dict[int, int] = {}
+        seen: set[int] = set()
+
+        def table(*columns) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)], names=["copy", "term", "n"])
+
         for batch in batches:
             for part in pieces(batch, "text"):
                 w = Words(part.column("text"))
+                keys = np.array([_key(t or "") for t in part.column("text").to_pylist()], dtype=np.int64)
+                again = copied[keys & (BITS - 1)]
+                first_here = np.ones(len(keys), dtype=bool)
+                for i in np.flatnonzero(again).tolist():
+                    first_here[i] = int(keys[i]) not in seen
+                    seen.add(int(keys[i]))
+                if len(seen) > 400_000:
+                    seen.clear()
                 distinct, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
                 term = np.zeros(len(distinct), dtype=np.int64)
                 if len(names) > 400_000:
@@ -161,21 +178,24 @@ def _count(bits: np.ndarray):
                         names[h] = t = t if t and bits[t & (BITS - 1)] else 0
                     term[i] = t
                 each = term[inverse]
-                hit = np.flatnonzero(each)
+                hit = np.flatnonzero((each != 0) & first_here[w.doc])
                 pairs = np.unique(np.stack([w.doc[hit], each[hit]], 1), axis=0) if len(hit) else np.zeros((0, 2), dtype=np.int64)
-                ts, n = np.unique(pairs[:, 1], return_counts=True)
+                twice = again[pairs[:, 0]]
+                if twice.any():
+                    yield table(keys[pairs[twice, 0]], pairs[twice, 1], np.ones(int(twice.sum()), dtype=np.int64))
+                ts, n = np.unique(pairs[~twice, 1], return_counts=True)
                 for t, k in zip(ts.tolist(), n.tolist(), strict=True):
                     totals[t] = totals.get(t, 0) + k
                 if len(totals) > 300_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(totals), type=pa.int64()), pa.array(list(totals.values()), type=pa.int64())], names=["term", "n"])
+                    yield table([None] * len(totals), list(totals), list(totals.values()))
                     totals = {}
-        yield pa.RecordBatch.from_arrays([pa.array(list(totals), type=pa.int64()), pa.array(list(totals.values()), type=pa.int64())], names=["term", "n"])
+        yield table([None] * len(totals), list(totals), list(totals.values()))
 
     return run
 
 
 def _bitmap(terms: DataFrame) -> np.ndarray:
-    """Bits of all terms: collected as blocks of a fixed total size, whatever the number of terms."""
+    """Bits of all terms (or texts): collected as blocks of a fixed total size, whatever their number."""
     block = 1 << 16
 
     def run(table: pa.Table) -> pa.Table:
@@ -193,16 +213,20 @@ def _bitmap(terms: DataFrame) -> np.ndarray:
     return out
 
 
-def disclosing_terms(found: DataFrame, text: DataFrame, n_docs: int, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
-    """(entity, term, share): words that reveal an entity at least so much. Copies of a context count once."""
-    near = found.filter(F.size("terms") > 0).select(F.explode("terms").alias("t")).select("t.entity", "t.context", "t.term").distinct()
+def disclosing_terms(found: DataFrame, text: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
+    """(entity, term, share): words that reveal an entity at least so much. Copies of a text count once, in every count."""
+    near = found.filter(F.size("terms") > 0).select("copy", F.explode("terms").alias("t")).select("t.entity", "copy", "t.term").distinct()
     both = written(near.groupBy("entity", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= support))
-    entities = near.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    counted = text.mapInArrow(_count(_bitmap(both)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
-    joined = both.join(entities, "entity").join(counted, "term")
-    # p(entity | term) can't exceed 1: contexts of one document may hold a word twice
-    given = F.least(F.lit(1.0), F.col("n_both") / F.col("n_term"))
-    prior = F.col("n_entity") / F.lit(float(max(n_docs, 2)))
+    entities = near.select("entity", "copy").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    copies = written(found.groupBy("copy").agg(F.count("*").alias("n")))
+    n_texts = F.lit(float(max(copies.count(), 2)))
+    copied = _bitmap(copies.filter("n > 1").select(F.col("copy").alias("term")))
+    held = text.mapInArrow(_count(_bitmap(both), copied), "copy long, term long, n long").groupBy("copy", "term").agg(F.sum("n").alias("n"))
+    counted = held.groupBy("term").agg(F.sum(F.when(F.col("copy").isNull(), F.col("n")).otherwise(1)).alias("n_term"))
+    joined = both.join(entities, "entity").join(counted, "term", "left")
+    # a word that an entity touches without a space isn't counted as a word elsewhere
+    n_term = F.greatest("n_both", F.coalesce("n_term", F.lit(0))).cast("double")
+    given, prior = F.col("n_both") / n_term, F.col("n_entity") / n_texts
     share = F.when(prior < 1, 1 - F.log(given) / F.log(prior)).otherwise(0.0)
     return joined.withColumn("share", share).filter(F.col("share") >= threshold).select("entity", "term", "share")
 
@@ -215,7 +239,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", re
     """
     text = docs.select(column_or_null(docs, id_col, "long").alias("doc_id"), column_or_null(docs, text_col, "string").alias("text"))
     found = written(text.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text").mapInArrow(_find(reach), _FOUND))
-    telling = disclosing_terms(found, text.select("text"), found.count(), threshold, support)
+    telling = disclosing_terms(found, text.select("text"), threshold, support)
     near = found.filter(F.size("terms") > 0).select("key", F.explode("terms").alias("t")).select("key", "t.entity", "t.term", "t.start", "t.end")
     more = near.join(telling, ["entity", "term"]).select("key", "start", "end").distinct().groupBy("key").agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end")).alias("more"))
     kinds = F.array(*(F.lit(k) for k in (*KINDS, "term")))

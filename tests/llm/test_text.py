@@ -217,6 +217,22 @@ def test_disclosing_terms(spark, empty, odd):
     assert pii.find_pii(empty).count() == 0 and pii.find_pii(odd).count() == odd.count()
 
 
+def term_words(row, text):
+    return {text[int(a) : int(b)] for k, a, b in (s.split(":") for s in row.spans.split(",")) if k == "term"}
+
+
+def test_copies_hide_no_disclosure(spark):
+    """Four texts about an entity, each copied many times over: all counts are of texts, so the verdict is that without copies."""
+    rows = [(i, prose(30, i, vocab=60)) for i in range(600)]
+    told = [(600 + i, f"{prose(8, 700 + i, vocab=60)} Rotterdam boss@secret.org {prose(8, 800 + i, vocab=60)}") for i in range(4)]
+    copies = [(1000 + 100 * k + i, told[i][1]) for k in range(300) for i in range(4)]
+    for more in ([], copies):
+        df = spark.createDataFrame(rows + told + more, "doc_id long, text string").repartition(4)
+        got = pii.find_pii(df).filter("doc_id >= 600").collect()
+        text = dict(told + more)
+        assert len(got) == len(text) and all(term_words(r, text[r.doc_id]) == {"Rotterdam"} for r in got)
+
+
 # --- language model
 
 
