@@ -2,8 +2,9 @@
 
 Base spans (email, ip, card, phone) are found by patterns. Corpus statistics then tell how much a word near an entity reveals
 it: the information the word gives about the entity (their pointwise mutual information over documents) as a share of the
-entity's own information. Words whose share reaches the disclosure threshold get spans too, and `sanitise` replaces
-entities by their kind and such words by something general, or removes them.
+entity's own information. Small counts are discounted: the share is what bounds of confidence on both probabilities vouch for,
+so one sighting tells much in a large corpus and little in a small one. Words whose share reaches the disclosure threshold get
+spans too, and `sanitise` replaces entities by their kind and such words by something general, or removes them.
 
 All counts are of distinct texts: those that hold an entity, an entity and a word near it, a word at all, and all of them. Only
 words near some entity are counted, which a bitmap of fixed size tells apart in every task. Another one tells texts that may
@@ -28,8 +29,8 @@ from lattica.llm.text import Words, pieces
 
 KINDS = ("email", "ip", "card", "phone")
 #: Words on each side of an entity that may reveal it; share of the entity's information from which a word discloses it;
-#: distinct texts that must show a word together with an entity.
-REACH, THRESHOLD, SUPPORT = 6, 0.5, 3
+#: normal deviate of the one-sided bounds (99 %) on the probabilities that make up the share.
+REACH, THRESHOLD, DEVIATE = 6, 0.5, 2.326
 #: Characters on each side that these words are sought in, for each of them; a word that ends beyond isn't one of them.
 WIDTH = 40
 #: Bits of the bitmap of words near entities.
@@ -213,10 +214,17 @@ def _bitmap(terms: DataFrame) -> np.ndarray:
     return out
 
 
-def disclosing_terms(found: DataFrame, text: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
+def _bound(hits, trials, deviate: float):
+    """Wilson's bound on the probability of a hit; the lower one for a positive deviate, the upper one for a negative."""
+    p, z2 = hits / trials, deviate * deviate
+    middle = p + z2 / (2 * trials)
+    return (middle - deviate * F.sqrt(p * (1 - p) / trials + z2 / (4 * trials * trials))) / (1 + z2 / trials)
+
+
+def disclosing_terms(found: DataFrame, text: DataFrame, threshold: float = THRESHOLD, deviate: float = DEVIATE) -> DataFrame:
     """(entity, term, share): words that reveal an entity at least so much. Copies of a text count once, in every count."""
     near = found.filter(F.size("terms") > 0).select("copy", F.explode("terms").alias("t")).select("t.entity", "copy", "t.term").distinct()
-    both = written(near.groupBy("entity", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= support))
+    both = written(near.groupBy("entity", "term").agg(F.count("*").alias("n_both")))
     entities = near.select("entity", "copy").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     copies = written(found.groupBy("copy").agg(F.count("*").alias("n")))
     n_texts = F.lit(float(max(copies.count(), 2)))
@@ -226,12 +234,12 @@ def disclosing_terms(found: DataFrame, text: DataFrame, threshold: float = THRES
     joined = both.join(entities, "entity").join(counted, "term", "left")
     # a word that an entity touches without a space isn't counted as a word elsewhere
     n_term = F.greatest("n_both", F.coalesce("n_term", F.lit(0))).cast("double")
-    given, prior = F.col("n_both") / n_term, F.col("n_entity") / n_texts
-    share = F.when(prior < 1, 1 - F.log(given) / F.log(prior)).otherwise(0.0)
+    given, prior = _bound(F.col("n_both"), n_term, deviate), _bound(F.col("n_entity"), n_texts, -deviate)
+    share = F.when((prior < 1) & (given > 0), 1 - F.log(given) / F.log(prior)).otherwise(0.0)
     return joined.withColumn("share", share).filter(F.col("share") >= threshold).select("entity", "term", "share")
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH, threshold: float = THRESHOLD, deviate: float = DEVIATE) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term for every row.
 
     spans: kind:start:end of base spans and disclosing terms by start, then kind (base kinds as listed, then term). A null
@@ -239,7 +247,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", re
     """
     text = docs.select(column_or_null(docs, id_col, "long").alias("doc_id"), column_or_null(docs, text_col, "string").alias("text"))
     found = written(text.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text").mapInArrow(_find(reach), _FOUND))
-    telling = disclosing_terms(found, text.select("text"), threshold, support)
+    telling = disclosing_terms(found, text.select("text"), threshold, deviate)
     near = found.filter(F.size("terms") > 0).select("key", F.explode("terms").alias("t")).select("key", "t.entity", "t.term", "t.start", "t.end")
     more = near.join(telling, ["entity", "term"]).select("key", "start", "end").distinct().groupBy("key").agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end")).alias("more"))
     kinds = F.array(*(F.lit(k) for k in (*KINDS, "term")))

@@ -221,6 +221,15 @@ def term_words(row, text):
     return {text[int(a) : int(b)] for k, a, b in (s.split(":") for s in row.spans.split(",")) if k == "term"}
 
 
+def test_single_sightings_disclose(spark):
+    """A name that stands beside one e-mail only, once in the corpus; the words around it are everywhere."""
+    rows = [(i, prose(40, i, vocab=60)) for i in range(3000)]
+    rows.append((3000, f"{prose(8, 1, vocab=60)} w1 w2 w3 Rotterdam one@lone.org w4 w5 w6 {prose(8, 2, vocab=60)}"))
+    got = {r.doc_id: r for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert term_words(got[3000], dict(rows)[3000]) == {"Rotterdam"} and got[3000].n_term == 1
+    assert all(got[i].n_term == 0 for i in range(3000))
+
+
 def test_copies_hide_no_disclosure(spark):
     """Four texts about an entity, each copied many times over: all counts are of texts, so the verdict is that without copies."""
     rows = [(i, prose(30, i, vocab=60)) for i in range(600)]
