@@ -1,9 +1,11 @@
 """Benchmark decontamination by template canonicalisation.
 
 Numbers, names and units become typed placeholders; windows of template tokens of documents and benchmark items are joined
-by hash. Windows of one item at one displacement form an alignment, and its slots must be consistent: equal values in the
-item stand for equal values in the document and the other way round, so a re-parameterised question is caught and a chance
-meeting of placeholders isn't.
+by hash. Windows of one item at one displacement form an alignment. Its slots must be consistent: a value of the item stands for
+one value of the document in more than half of its places, and the other way round. Slots that differ aren't covered. Numbers and
+units may be equal by chance, so nothing else follows for them; a name that stands for several, none of them in most places, is
+somebody else, and such an alignment counts only with the windows that agree word for word. So a re-parameterised question is
+caught and a chance meeting of placeholders isn't.
 
 The benchmark's window hashes are sent to the tasks as a filter if they are few (their number is checked); otherwise all
 windows of the documents are joined by a shuffle.
@@ -17,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.llm.shared import column_or_null, written
@@ -88,7 +90,7 @@ class Canon:
 
 
 def _windows(w: Words, canon: Canon, sizes: list[int]):
-    """(start word, size, hash) arrays of windows with enough literal tokens."""
+    """(start words, size, hashes) of windows with enough literal tokens, and slots and names of all words."""
     template, slots, kind = canon.of(w)
     literal = np.concatenate([[0], np.cumsum(kind == LITERALS)])
     for k in sizes:
@@ -96,7 +98,7 @@ def _windows(w: Words, canon: Canon, sizes: list[int]):
         if k > 1 and len(at):
             at = at[w.doc[at] == w.doc[at + k - 1]]
         at = at[literal[at + k] - literal[at] >= min(LITERAL, k - 1)]
-        yield at, k, span_hash(template, at, at + k), slots
+        yield at, k, span_hash(template, at, at + k), slots, kind == NAME
 
 
 SCHEMA = "_uid long, doc_id long, hits array<struct<pos:int,size:int,hash:long,slots:array<long>>>"
@@ -115,7 +117,7 @@ def _scan(sizes: list[int], wanted: np.ndarray | None):
             for part in pieces(batch, "text"):
                 w = Words(part.column("text"))
                 hits: list[list] = [[] for _ in range(part.num_rows)]
-                for at, k, h, slots in _windows(w, canon, sizes):
+                for at, k, h, slots, _ in _windows(w, canon, sizes):
                     if wanted is not None:
                         maybe = np.flatnonzero(bits[(h & U((1 << 22) - 1)).astype(np.int64)])
                         maybe = maybe[wanted[np.minimum(np.searchsorted(wanted, h[maybe]), len(wanted) - 1)] == h[maybe]] if len(wanted) else maybe[:0]
@@ -130,7 +132,7 @@ def _scan(sizes: list[int], wanted: np.ndarray | None):
 
 
 def benchmark_windows(bench: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """item_id, n_words, pos, size, hash, slots: windows of every item; an item below the window's size is one window."""
+    """item_id, n_words, b_pos, size, hash, b_slots, b_names: windows of every item; an item below the window's size is one window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canon = Canon()
@@ -139,21 +141,21 @@ def benchmark_windows(bench: DataFrame, id_col: str = "item_id", text_col: str =
             out = []
             ids = batch.column("item_id").to_pylist()
             sizes = sorted({min(window, int(n)) for n in w.counts if n >= LEAST_WORDS})
-            for at, k, h, slots in _windows(w, canon, sizes):
+            for at, k, h, slots, names in _windows(w, canon, sizes):
                 for a, x in zip(at.tolist(), h.view(np.int64).tolist(), strict=True):
                     d = int(w.doc[a])
                     if k == min(window, int(w.counts[d])):
-                        out.append((ids[d], int(w.counts[d]), a - int(w.first[d]), k, x, slots[a : a + k].view(np.int64).tolist()))
-            cols = list(zip(*out, strict=True)) or [[]] * 6
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, t in zip(cols, kinds, strict=True)], names=["item_id", "n_words", "b_pos", "size", "hash", "b_slots"])
+                        out.append((ids[d], int(w.counts[d]), a - int(w.first[d]), k, x, slots[a : a + k].view(np.int64).tolist(), names[a : a + k].tolist()))
+            cols = list(zip(*out, strict=True)) or [[]] * 7
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, t in zip(cols, kinds, strict=True)], names=["item_id", "n_words", "b_pos", "size", "hash", "b_slots", "b_names"])
 
     frame = bench.select(column_or_null(bench, id_col, "long").alias("item_id"), column_or_null(bench, text_col, "string").alias("text"))
-    return frame.mapInArrow(run, "item_id long, n_words int, b_pos int, size int, hash long, b_slots array<long>")
+    return frame.mapInArrow(run, "item_id long, n_words int, b_pos int, size int, hash long, b_slots array<long>, b_names array<boolean>")
 
 
 def alignments(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", few: int = FEW) -> tuple[DataFrame, DataFrame]:
-    """(rows with _uid, doc_id; consistent alignments with _uid, item_id, covered)."""
+    """(rows with _uid, doc_id; alignments that cover enough with _uid, item_id, covered)."""
     windows = written(benchmark_windows(bench))
     n = windows.count()
     sizes = sorted(r[0] for r in windows.select("size").distinct().collect())
@@ -167,12 +169,22 @@ def alignments(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_c
     met = hits.join(side, ["hash", "size"]).withColumn("shift", F.col("pos") - F.col("b_pos"))
     key = ["_uid", "item_id", "n_words", "shift"]
     # windows of one alignment overlap: the covered words are the union of their spans
-    spans = met.groupBy(*key).agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("b_pos", F.col("b_pos") + F.col("size") - 1)))).alias("at"))
-    slots = met.select(*key, F.explode(F.arrays_zip("slots", "b_slots")).alias("s")).filter("s.slots <> 0")
-    fits = slots.groupBy(*key).agg(F.countDistinct("s.slots").alias("d"), F.countDistinct("s.b_slots").alias("b"), F.countDistinct("s.slots", "s.b_slots").alias("p"))
-    good = spans.join(fits, key, "left").filter("p IS NULL OR (p = d AND p = b)")
-    enough = F.size("at") >= F.least(F.lit(COVER), F.ceil(F.col("n_words") * SHARE))
-    return rows.select("_uid", "doc_id"), good.filter(enough).select("_uid", "item_id", F.size("at").alias("covered"))
+    span = F.sequence("b_pos", F.col("b_pos") + F.col("size") - 1)
+    union = lambda x: F.size(F.array_distinct(F.flatten(F.collect_set(x))))
+    spans = met.groupBy(*key).agg(union(span).alias("words"), union(F.when(F.col("slots") == F.col("b_slots"), span)).alias("literal"))
+    slots = met.select(*key, "b_pos", F.posexplode(F.arrays_zip("slots", "b_slots", "b_names")).alias("i", "s")).filter("s.slots <> 0")
+    places = slots.select(*key, (F.col("b_pos") + F.col("i")).alias("place"), F.col("s.slots").alias("d"), F.col("s.b_slots").alias("b"), F.col("s.b_names").alias("name")).distinct()
+    pairs = places.groupBy(*key, "name", "d", "b").agg(F.count("*").alias("n"))
+    of_d, of_b = Window.partitionBy(*key, "name", "d"), Window.partitionBy(*key, "name", "b")
+    most = lambda x, w: 2 * x > F.sum("n").over(w)
+    judged = pairs.select(
+        *key, "n", (most(F.col("n"), of_d) & most(F.col("n"), of_b)).alias("fits"), (F.col("name") & ~(most(F.max("n").over(of_d), of_d) & most(F.max("n").over(of_b), of_b))).alias("other")
+    )
+    fits = judged.groupBy(*key).agg(F.sum(F.when(F.col("fits"), 0).otherwise(F.col("n"))).alias("lost"), F.max("other").alias("other"))
+    covered = F.when(F.coalesce("other", F.lit(False)), F.col("literal")).otherwise(F.greatest(F.col("words") - F.coalesce("lost", F.lit(0)), F.col("literal"))).cast("int")
+    good = spans.join(fits, key, "left").withColumn("covered", covered)
+    enough = F.col("covered") >= F.least(F.lit(COVER), F.ceil(F.col("n_words") * SHARE))
+    return rows.select("_uid", "doc_id"), good.filter(enough).select("_uid", "item_id", "covered")
 
 
 def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:

@@ -150,6 +150,16 @@ def test_contamination(spark, empty, odd):
     assert sorted(str(r.text) for r in decontaminate.drop_contaminated(blank, bench).collect()) == ["fine", "fine"]
 
 
+def test_one_odd_slot_vetoes_nothing(spark):
+    """Parameters equal by chance on one side, and copies with one of two equal numbers changed."""
+    ask = lambda a, b, c: f"we buy {a} apples and also {b} pears at the market so how many fruits do we carry home for {c}"
+    long = " ".join(f"7 {w}" if i in (8, 30) else w for i, w in enumerate(prose(40, 72).split()))
+    bench = spark.createDataFrame([(0, ask(4, 4, "Anna")), (1, ask(3, 5, "Anna").replace("market", "harbour").replace("buy", "sell").replace("home", "away")), (2, long), (3, "here Anna saw Ben and later Anna told Ben that Anna and Ben were late")], "item_id long, text string")
+    rows = [(0, "xx " + ask(3, 7, "Carl")), (1, "xx " + ask(4, 4, "Carl").replace("market", "harbour").replace("buy", "sell").replace("home", "away")), (2, "xx " + long[::-1].replace("7", "9", 1)[::-1]), (3, "xx here Carl saw Dora and later Edna told Finn that Gina and Hugo were late"), (4, prose(60, 73))]
+    got = {r.doc_id: (r.leaked, r.item_ids) for r in decontaminate.contamination(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {0: (True, "0"), 1: (True, "1"), 2: (True, "2"), 3: (False, ""), 4: (False, "")}
+
+
 # --- personal data
 
 KINDS = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
