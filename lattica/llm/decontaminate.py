@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation.
 
 Numbers, names and units become typed placeholders; windows of template tokens of documents and benchmark items are joined
-by hash. Windows of one item at one displacement form an alignment. Its slots must be consistent: a value of the item stands for
+by hash. A window with few literal tokens would meet others by chance, so it is joined by its words as they stand. Windows of one item at one displacement form an alignment. Its slots must be consistent: a value of the item stands for
 one value of the document in more than half of its places, and the other way round. Slots that differ aren't covered. Numbers and
 units may be equal by chance, so nothing else follows for them; a name that stands for several, none of them in most places, is
 somebody else, and such an alignment counts only with the windows that agree word for word. So a re-parameterised question is
@@ -32,6 +32,8 @@ LEAST_WORDS = 5
 #: Windows of a benchmark that are sent to the tasks (8 bytes each).
 FEW = 4_000_000
 _CACHE = 400_000
+#: Tells hashes of windows taken word for word from those of templates.
+_EXACT = U(0x6A09E667F3BCC909)
 
 LITERALS, NUMBER, NAME, UNIT = 0, 1, 2, 3
 UNITS = frozenset("% ° °c °f mm cm m km mg g kg t ml l s sec secs min mins h hr hrs hour hours minute minutes second seconds day days week weeks month months year years inch inches foot feet ft mile miles lb lbs oz pound pounds dollar dollars cent cents euro euros $ € £ mph kmh km/h w kw v a hz j n pa meter meters metre metres gram grams liter liters litre litres percent".split())
@@ -60,8 +62,8 @@ class Canon:
         self.known: dict[int, int] = {}
         self.rows: list[tuple[int, int, int, bool]] = []
 
-    def of(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(template hash, slot value or 0, kind) of each word."""
+    def of(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(template hash, slot value or 0, kind, hash of the bare word) of each word."""
         distinct, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
         if len(self.rows) + len(distinct) > _CACHE:
             self.known, self.rows = {}, []
@@ -86,19 +88,24 @@ class Canon:
         after_number[1:] = (kind[:-1] == NUMBER) & (w.doc[1:] == w.doc[:-1])
         kind[(kind == UNIT) & ~after_number] = LITERALS
         template = np.where(kind == LITERALS, value, mix(kind.astype(np.uint64) + U(77)))
-        return template, np.where(kind == LITERALS, U(0), value), kind
+        return template, np.where(kind == LITERALS, U(0), value), kind, value
 
 
 def _windows(w: Words, canon: Canon, sizes: list[int]):
-    """(start words, size, hashes) of windows with enough literal tokens, and slots and names of all words."""
-    template, slots, kind = canon.of(w)
+    """(start words, size, hashes) of windows, and slots and names of all words. A window with too few literal tokens for
+    its template is taken word for word: it has no slots."""
+    template, slots, kind, value = canon.of(w)
+    none = np.zeros(len(slots), dtype=np.uint64)
     literal = np.concatenate([[0], np.cumsum(kind == LITERALS)])
     for k in sizes:
         at = np.arange(max(0, len(w.doc) - k + 1))
         if k > 1 and len(at):
             at = at[w.doc[at] == w.doc[at + k - 1]]
-        at = at[literal[at + k] - literal[at] >= min(LITERAL, k - 1)]
+        enough = literal[at + k] - literal[at] >= min(LITERAL, k - 1)
+        few, at = at[~enough], at[enough]
         yield at, k, span_hash(template, at, at + k), slots, kind == NAME
+        if len(few):
+            yield few, k, mix(span_hash(value, few, few + k) ^ _EXACT), none, none > 0
 
 
 SCHEMA = "_uid long, doc_id long, hits array<struct<pos:int,size:int,hash:long,slots:array<long>>>"

@@ -160,6 +160,19 @@ def test_one_odd_slot_vetoes_nothing(spark):
     assert got == {0: (True, "0"), 1: (True, "1"), 2: (True, "2"), 3: (False, ""), 4: (False, "")}
 
 
+def test_items_without_literals(spark):
+    """Copies of items that are mostly slots are found word for word, other numbers and names in the same places aren't."""
+    sums, names, short = "12 7 19 and 3 14 42 then 8 5 3 9 81 729 6561", "we met Anna Ben Carl Dora Edna Finn Gina Hugo Ida Jon Kim Lea Max", "1 1 2 3 5 8"
+    other = re.sub(r"[0-9]+", lambda m: str(int(m[0]) + 11), sums)
+    bench = spark.createDataFrame([(0, sums), (1, names), (2, short), (3, "17 23 42 99 108 7 7 7 7 7")], "item_id long, text string")
+    rows = [(0, f"{prose(20, 1)} {sums} {prose(20, 2)}"), (1, f"{prose(9, 3)} {names} {prose(9, 4)}"), (2, f"so {short} go"), (3, f"xx {other}"), (4, "xx we met Olga Paul Carl Dora Rita Sam Tom Uwe Ida Jon Kim Vera Max")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for few in (4_000_000, 0):
+        got = {r.doc_id: r.item_ids for r in decontaminate.contamination(docs, bench, few=few).collect()}
+        assert got == {0: "0", 1: "1", 2: "2", 3: "", 4: ""}, few
+    assert {r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()} == {3, 4}
+
+
 # --- personal data
 
 KINDS = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
