@@ -7,6 +7,8 @@ import pytest
 from lattica.llm import exact_dedup, fm_dedup, jaccard_join, sharding, suffix_dedup
 from lattica.llm.components import connected
 
+from .conftest import prose
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -101,6 +103,14 @@ def test_one_of_each_keeps_smallest(docs, rows):
     assert {r.doc_id for r in jaccard_join.one_of_each(docs).collect()} == want
 
 
+def test_one_of_each_judges_texts_that_share_an_id(spark):
+    """One id with a near copy of a smaller id's text and a text of its own: only the near copy goes."""
+    near, alone, shared = prose(80, 21), prose(80, 22), prose(80, 23)
+    rows = [(1, near), (2, near + " end"), (2, alone), (2, None), (3, shared + " end"), (2, shared), (4, near), (5, prose(40, 24))]
+    kept = jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text or "") for r in kept) == sorted([(1, near), (2, alone), (2, ""), (2, shared), (5, rows[7][1])])
+
+
 def test_link_sets_sides():
     import numpy as np
 
