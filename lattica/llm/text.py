@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U = np.uint64
 _ODD = 0x9E3779B97F4A7C15
@@ -14,9 +15,11 @@ _MASK = (1 << 64) - 1
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 IS_WORD = np.ones(256, dtype=bool)
 IS_WORD[list(SPACES)] = False
-_VALUES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) | U(1)
-_LOWERED = _VALUES.copy()
-_LOWERED[65:91] = _VALUES[97:123]
+_LOWERED = np.arange(256, dtype=np.uint8)
+_LOWERED[65:91] += 32
+#: The low 0 to 8 bytes of a lane; words of more lanes than these are hashed one by one.
+_LANES = 8
+_HEAD = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
 _POWERS: dict[int, np.ndarray] = {}
 #: Bytes of text that are worked on at a time; a longer text is worked on alone.
 CHUNK = 1 << 21
@@ -46,7 +49,8 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of values[s:e] for each pair; equal content, equal hash, wherever it stands."""
+    """Hash of values[s:e] for each pair; equal content, equal hash, wherever it stands. Values are hashes themselves, of which
+    spans of some hundreds at most are told apart: a polynomial modulo 2**64 has collisions by pattern from 1,024 values on."""
     sums = np.empty(len(values) + 1, dtype=np.uint64)
     sums[0] = 0
     np.cumsum(values * _powers(_ODD, len(values)), out=sums[1:])
@@ -54,6 +58,27 @@ def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * _powers(inverse, len(values) + 1)[starts] + (ends - starts).astype(np.uint64) * U(0xD6E8FEB86659FD93))
 
 
+def word_hash(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of raw[s:e] for each pair. Lanes of 8 bytes are mixed in one after another, so words of equal length up to 8
+    bytes never collide, and longer ones not by a pattern of theirs."""
+    n = ends - starts
+    out = mix(n.astype(np.uint64) * U(0xD6E8FEB86659FD93) + U(1))
+    if not len(n):
+        return out
+    lanes = np.ndarray(len(raw), dtype="<u8", buffer=np.concatenate([raw, np.zeros(8, dtype=np.uint8)]), strides=(1,))
+    some, at, left = slice(None), starts, n
+    for i in range(_LANES):
+        out[some] = mix((out[some] ^ (lanes[at] & _HEAD[np.minimum(left, 8)])) * U(_ODD) + U(i))
+        more = np.flatnonzero((n if i == 0 else n[some]) > 8 * (i + 1))
+        if not len(more):
+            return out
+        some = more if i == 0 else some[more]
+        at, left = starts[some] + 8 * (i + 1), n[some] - 8 * (i + 1)
+    for i in some.tolist():
+        out[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]])
+    return out
+
+
 class Words:
     """The words of some texts: hash, byte bounds and text number of each; first[i]:first[i+1] are those of text i."""
 
@@ -71,7 +96,7 @@ class Words:
         self.counts = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(texts)), self.counts)
         if hashes:
-            self.hash = span_hash((_LOWERED if lower else _VALUES)[raw], self.starts, self.ends)
+            self.hash = word_hash(_LOWERED[raw] if lower else raw, self.starts, self.ends)
 
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Start words of all windows of k words within one text, and their hashes."""
