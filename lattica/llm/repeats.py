@@ -11,7 +11,9 @@ Both times, tasks work in packs: a pack sends each distinct anchor or segment on
 to itself, in a row of its own. Answers come back by pack. So an anchor or passage that a third of the texts hold reaches one
 task as at most one entry a pack, and nothing is grouped by its occurrences.
 
-Words travel as 32 bits of their hash; windows are equal if all L are.
+Words travel as numbers in a list of 64-bit hashes, one list for each row of a pack; windows are equal if all their hashes are.
+Hashes of anchors and contexts only deal segments out, and segments are compared word by word before one stands for another. Texts are known
+by 128 bits of a hash of id and text.
 """
 
 from __future__ import annotations
@@ -25,14 +27,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.shared import column_or_null, parallelism, written
+from lattica.llm.shared import column_or_null, parallelism, small, written
 from lattica.llm.text import U, Words, mix, pack, pieces, span_hash
 
-#: Occurrences from which an anchor's segments are dealt by longer contexts; bytes up to which a looked-up side is broadcast.
-HOT, SMALL_SIDE = 2_000, 32 << 20
-_POS = 26
-#: Anchors of a pack; a pack of segments is closed at four times as many words of its texts.
-PACK = 1 << 20
+#: Occurrences from which an anchor's segments are dealt by longer contexts.
+HOT = 2_000
+#: Window starts that are looked at together, within one text; bits of a word's place among them.
+_SPAN, _POS = 1 << 25, 26
+#: Anchors of a pack; a pack of segments is closed at twice as many words of its texts. Bytes of a part, on average.
+PACK, PART = 1 << 20, 12 << 20
 
 
 def _runs(key: np.ndarray) -> list[tuple[int, int]]:
@@ -45,33 +48,64 @@ def _runs(key: np.ndarray) -> list[tuple[int, int]]:
 class Segments:
     """Segments of some texts: first and last window start, anchor word and hash, text, and number within the text."""
 
-    def __init__(self, texts: pa.Array, length: int, k: int):
+    def __init__(self, texts: pa.Array, length: int, k: int, span: int = _SPAN):
         self.words = w = Words(texts)
-        n, width = len(w.doc), length - k + 1
+        found = [self._within(a, min(len(w.doc), a + span + length - 1), length, k) for a in range(0, max(len(w.doc) - length + 1, 1), span)]
+        self.first, self.last, self.anchor, self.hash = (np.concatenate(c) for c in zip(*found, strict=True))
+        self.doc = w.doc[self.first]
+        begins = np.searchsorted(self.doc, np.arange(len(texts)))
+        self.number = np.arange(len(self.first)) - begins[self.doc]
+
+    def _within(self, low: int, high: int, length: int, k: int) -> tuple[np.ndarray, ...]:
+        """Segments of the windows within these words; a segment that goes on behind them is two."""
+        doc, n, width = self.words.doc[low:high], high - low, length - k + 1
         grams = np.full(n + 1, np.iinfo(np.uint64).max, dtype=np.uint64)
-        at, g = w.windows(k)
-        grams[at] = g
-        low = np.arange(n, dtype=np.uint64) | (grams[:n] >> U(_POS) << U(_POS))
+        at = np.arange(max(0, n - k + 1))
+        at = at[doc[at] == doc[at + k - 1]]
+        grams[at] = span_hash(self.words.hash[low:high], at, at + k)
+        least = np.arange(n, dtype=np.uint64) | (grams[:n] >> U(_POS) << U(_POS))
         have = 1
         while have < width:  # minima over doubling widths; ties go to the left
             step = min(have, width - have)
-            low = np.minimum(low[: len(low) - step], low[step:])
+            least = np.minimum(least[: len(least) - step], least[step:])
             have += step
         starts = np.arange(max(0, n - length + 1))
-        starts = starts[w.doc[starts] == w.doc[starts + length - 1]] if len(starts) else starts
-        anchor = (low[starts] & U((1 << _POS) - 1)).astype(np.int64)
-        doc = w.doc[starts]
-        cut = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])])) if len(starts) else np.zeros(0, dtype=np.int64)
-        self.first, self.last = starts[cut], starts[np.append(cut[1:], len(starts)) - 1] if len(cut) else starts[:0]
-        self.anchor, self.doc = anchor[cut], doc[cut]
-        self.hash = grams[self.anchor]
-        begins = np.searchsorted(self.doc, np.arange(len(texts)))
-        self.number = np.arange(len(cut)) - begins[self.doc]
+        starts = starts[doc[starts] == doc[starts + length - 1]]
+        anchor = (least[starts] & U((1 << _POS) - 1)).astype(np.int64)
+        doc = doc[starts]
+        cut = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])])) if len(starts) else starts
+        last = starts[np.append(cut[1:], len(starts)) - 1] if len(cut) else starts
+        return starts[cut] + low, last + low, anchor[cut] + low, grams[anchor[cut]]
+
+
+def alike(key: np.ndarray, words: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one row of each kind, the kind of every row): rows with equal keys and equal words, which are compared one by one."""
+    _, at, which = np.unique(key, return_index=True, return_inverse=True)
+    rep = at[which]
+    other = np.flatnonzero(rep != np.arange(len(key)))
+    odd = n[other] != n[rep[other]]
+    same = np.flatnonzero(~odd)
+    for lo in range(0, len(same), 1 << 14):  # a bounded number of words at a time
+        rows = same[lo : lo + (1 << 14)]
+        m, a, b = n[other[rows]], first[other[rows]], first[rep[other[rows]]]
+        step = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
+        differ = words[np.repeat(a, m) + step] != words[np.repeat(b, m) + step]
+        if differ.any():
+            odd[rows[np.repeat(np.arange(len(m)), m)[differ]]] = True
+    if odd.any():  # a key of two different rows
+        kinds = {}
+        for i in np.flatnonzero(np.isin(which, which[other[odd]])).tolist():
+            content = (int(key[i]), words[first[i] : first[i] + n[i]].tobytes())
+            which[i] = kinds.setdefault(content, len(at) + len(kinds))
+        _, at, which = np.unique(which, return_index=True, return_inverse=True)
+    return at, which
 
 
 #: Both tables of packs. kind 0: where the entries of a pack occur; kind 1: what it sends to part p.
-_ANCHORS = "kind int, pack long, p int, key binary, number binary, entry binary, h binary, n binary"
-_ANCHOR_NAMES = ["kind", "pack", "p", "key", "number", "entry", "h", "n"]
+_ANCHORS = "kind int, pack long, p int, key binary, doc binary, number binary, entry binary, h binary, n binary"
+_ANCHOR_NAMES = [c.split()[0] for c in _ANCHORS.split(", ")]
+#: Two hashes of id and text, by which a text is known.
+_KEY = ["k1", "k2"]
 
 
 def _table(names: list[str], rows: list[dict], wide: bool = False):
@@ -85,6 +119,16 @@ def _column(table: pa.Table, name: str, kind) -> np.ndarray:
     return np.concatenate([np.frombuffer(x, dtype=kind) for x in table.column(name).to_pylist()])
 
 
+def _keys(part: pa.RecordBatch) -> np.ndarray:
+    return np.stack([part.column(c).to_numpy(zero_copy_only=False) for c in _KEY], 1)
+
+
+def _by_key(rows: list[tuple], blob: str) -> pa.Table:
+    """(k1, k2, packed array) of some texts."""
+    cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
+    return pa.Table.from_arrays([pa.array(list(c), type=t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=[*_KEY, blob])
+
+
 def _find(length: int, k: int, p_n: int, per_pack: int):
     """Packs of anchors: their texts and numbers stay, distinct anchors and their counts go to parts."""
 
@@ -92,11 +136,14 @@ def _find(length: int, k: int, p_n: int, per_pack: int):
         held, size, at = [], 0, TaskContext.get().partitionId() << 32
 
         def flush():
-            h, key, number = (np.concatenate([x[i] for x in held]) for i in range(3))
+            h, number, key = (np.concatenate([x[i] for x in held]) for i in range(3))
+            base = np.cumsum([0, *(len(x[2]) for x in held[:-1])])
+            doc = np.concatenate([x[3] + b for x, b in zip(held, base, strict=True)])
+            held.clear()
             distinct, inverse, n = np.unique(h, return_inverse=True, return_counts=True)
             part = (mix(distinct) % U(p_n)).astype(np.int64)
             order = np.argsort(part, kind="stable")
-            rows = [{"kind": 0, "pack": at, "key": pack(key), "number": pack(number.astype(np.uint32)), "entry": pack(inverse.astype(np.uint32))}]
+            rows = [{"kind": 0, "pack": at, "key": pack(key), "doc": pack(doc.astype(np.uint32)), "number": pack(number.astype(np.uint32)), "entry": pack(inverse.astype(np.uint32))}]
             part = part[order]
             for a, b in _runs(part):
                 o = order[a:b]
@@ -106,13 +153,13 @@ def _find(length: int, k: int, p_n: int, per_pack: int):
         for batch in batches:
             for part in pieces(batch, "text"):
                 s = Segments(part.column("text"), length, k)
-                keys = part.column("key").to_numpy(zero_copy_only=False)
                 if len(s.first):
-                    held.append((s.hash, keys[s.doc], s.number))
+                    have, doc = np.unique(s.doc, return_inverse=True)
+                    held.append((s.hash, s.number, _keys(part)[have], doc))
                     size += len(s.first)
                 if size >= per_pack:
                     yield flush()
-                    held, size, at = [], 0, at + 1
+                    size, at = 0, at + 1
         if held:
             yield flush()
 
@@ -147,19 +194,17 @@ def _by_text(table: pa.Table) -> pa.Table:
     here, told = table.filter(pa.array(kind == 0)), table.filter(pa.array(kind == 2))
     rows = []
     if len(told):
-        key, number, entry = _column(here, "key", np.int64), _column(here, "number", np.uint32), _column(here, "entry", np.uint32)
+        key, doc, number, entry = _column(here, "key", np.int64).reshape(-1, 2), *(_column(here, c, np.uint32) for c in ("doc", "number", "entry"))
         answer, said = np.zeros(int(entry.max()) + 1, dtype=np.uint8), _column(told, "entry", np.uint32)
         answer[said & np.uint32((1 << 31) - 1)] = 1 + (said >> np.uint32(31))
         got = answer[entry]
-        asked = np.flatnonzero(got)
-        asked = asked[np.argsort(key[asked], kind="stable")]
-        key, number = key[asked], number[asked] | np.where(got[asked] > 1, np.uint32(1 << 31), np.uint32(0))
-        rows = [(int(key[a]), pack(np.unique(number[a:b]))) for a, b in _runs(key)]
-    cols = list(zip(*rows, strict=True)) if rows else [[], []]
-    return pa.Table.from_arrays([pa.array(list(c), type=t) for c, t in zip(cols, (pa.int64(), pa.binary()), strict=True)], names=["key", "numbers"])
+        asked = np.flatnonzero(got)  # in order of texts
+        doc, number = doc[asked], number[asked] | np.where(got[asked] > 1, np.uint32(1 << 31), np.uint32(0))
+        rows = [(*key[doc[a]].tolist(), pack(number[a:b])) for a, b in _runs(doc)]
+    return _by_key(rows, "numbers")
 
 
-_SEGMENTS = "kind int, pack long, p int, key binary, start binary, entry binary, anchors binary, lengths binary, before binary, words binary, many binary, runs binary"
+_SEGMENTS = "kind int, pack long, p int, key binary, doc binary, start binary, entry binary, anchors binary, lengths binary, before binary, codes binary, words binary, many binary, runs binary"
 _NAMES = [c.split()[0] for c in _SEGMENTS.split(", ")]
 
 
@@ -171,26 +216,31 @@ def _deal(length: int, k: int, p_n: int, per_pack: int):
         held, size, at_pack = [], 0, TaskContext.get().partitionId() << 32
 
         def flush():
-            route, first, lens, key, at, before = (np.concatenate([x[i] for x in held]) for i in range(6))
-            base = np.concatenate([[0], np.cumsum([len(x[6]) for x in held])[:-1]])
-            codes = np.concatenate([x[6] for x in held])
-            first = first + np.repeat(base, [len(x[0]) for x in held])
-            content = span_hash(codes.astype(np.uint64), first, first + lens) ^ mix(route + before.astype(np.uint64))
-            part = (mix(route) % U(p_n)).astype(np.int64)
-            order = np.lexsort((content, part))
-            fresh = np.concatenate([[True], (content[order][1:] != content[order][:-1]) | (part[order][1:] != part[order][:-1])])
-            entry = np.empty(len(order), dtype=np.int64)
-            entry[order] = np.cumsum(fresh) - 1
+            route, first, lens, doc, at, before = (np.concatenate([x[i] for x in held]) for i in range(6))
+            base = np.cumsum([0, *(len(x[6]) for x in held[:-1])])
+            docs = np.cumsum([0, *(len(x[7]) for x in held[:-1])])
+            many = [len(x[0]) for x in held]
+            codes, key = np.concatenate([x[6] for x in held]), np.concatenate([x[7] for x in held])
+            first, doc = first + np.repeat(base, many), doc + np.repeat(docs, many)
+            held.clear()
+            content = span_hash(codes, first, first + lens) ^ mix(route + before.astype(np.uint64))
+            some, entry = alike(content, codes, first, lens)
+            # entries in order of their parts
+            part = (mix(route[some]) % U(p_n)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            place = np.empty(len(order), dtype=np.int64)
+            place[order] = np.arange(len(order))
+            entry, distinct, part = place[entry], some[order], part[order]
             count = np.bincount(entry)
-            rows = [{"kind": 0, "pack": at_pack, "key": pack(key), "start": pack(at.astype(np.uint32)), "entry": pack(entry.astype(np.uint32))}]
-            distinct = order[fresh]
-            for a, b in _runs(part[distinct]):
+            rows = [{"kind": 0, "pack": at_pack, "key": pack(key), "doc": pack(doc.astype(np.uint32)), "start": pack(at.astype(np.uint32)), "entry": pack(entry.astype(np.uint32))}]
+            for a, b in _runs(part):
                 d = distinct[a:b]
                 n = lens[d]
-                spots = np.repeat(first[d] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                spots = np.repeat(first[d] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                own, words = np.unique(codes[spots], return_inverse=True)
                 rows.append({
-                    "kind": 1, "pack": at_pack, "p": int(part[d[0]]), "entry": pack(np.arange(a, b, dtype=np.uint32)), "anchors": pack(route[d]), "lengths": pack(n.astype(np.uint8)),
-                    "before": pack(before[d].astype(np.uint8)), "words": pack(codes[spots]), "many": pack((count[a:b] > 1).astype(np.uint8)),
+                    "kind": 1, "pack": at_pack, "p": int(part[a]), "entry": pack(np.arange(a, b, dtype=np.uint32)), "anchors": pack(route[d]), "lengths": pack(n.astype(np.uint8)),
+                    "before": pack(before[d].astype(np.uint8)), "codes": pack(own), "words": pack(words.astype(_narrow(len(own)))), "many": pack((count[a:b] > 1).astype(np.uint8)),
                 })
             return _table(_NAMES, rows)
 
@@ -198,7 +248,7 @@ def _deal(length: int, k: int, p_n: int, per_pack: int):
             for part in pieces(batch, "text"):
                 s = Segments(part.column("text"), length, k)
                 w = s.words
-                keys, asked = part.column("key").to_numpy(zero_copy_only=False), part.column("numbers").to_pylist()
+                asked = part.column("numbers").to_pylist()
                 begins = np.searchsorted(s.doc, np.arange(part.num_rows))
                 pick, common = [], []
                 for i, x in enumerate(asked):
@@ -209,7 +259,7 @@ def _deal(length: int, k: int, p_n: int, per_pack: int):
                 if not pick:
                     continue
                 pick, common = np.concatenate(pick), np.concatenate(common).astype(bool)
-                codes = (w.hash >> U(32)).astype(np.uint32)
+                codes = w.hash
                 first, last, anchor, h = s.first[pick], s.last[pick], s.anchor[pick], s.hash[pick]
                 # windows that begin near a common anchor hold `half` words after it; the others `half` words before it
                 near, far = np.maximum(first, anchor - half), np.minimum(last, anchor - half - 1)
@@ -223,31 +273,44 @@ def _deal(length: int, k: int, p_n: int, per_pack: int):
                 if left.any():
                     b = np.maximum(anchor - half - 1, 0)
                     groups.append((left, first, far, mix(span_hash(w.hash, b, anchor + k) + U(2))))
-                for mask, lo, hi, route in groups:
-                    if mask.any():
-                        lo, hi = lo[mask], hi[mask]
-                        held.append((route[mask], lo, hi - lo + length, keys[s.doc[pick][mask]], lo - w.first[s.doc[pick][mask]], anchor[mask] - lo, codes))
-                        size += len(codes)
-                if size >= 4 * per_pack:
+                told = [(route[mask], lo[mask], hi[mask] - lo[mask] + length, s.doc[pick][mask], lo[mask] - w.first[s.doc[pick][mask]], anchor[mask] - lo[mask]) for mask, lo, hi, route in groups if mask.any()]
+                held.append((*(np.concatenate(c) for c in zip(*told, strict=True)), codes, _keys(part)))
+                size += len(codes)
+                if size >= 2 * per_pack:
                     yield flush()
-                    held, size, at_pack = [], 0, at_pack + 1
+                    size, at_pack = 0, at_pack + 1
         if held:
             yield flush()
 
     return run
 
 
+def _narrow(n: int):
+    """The type that numbers below n are packed in."""
+    return np.uint16 if n <= 1 << 16 else np.uint32
+
+
+def _words_of(table: pa.Table) -> np.ndarray:
+    """The words of all rows as numbers in one list."""
+    lists = [np.frombuffer(x, dtype=np.uint64) for x in table.column("codes").to_pylist()]
+    _, number = np.unique(np.concatenate(lists), return_inverse=True)
+    number = number.astype(np.uint32)
+    at = np.cumsum([0, *(len(x) for x in lists)])
+    return np.concatenate([number[at[i] + np.frombuffer(x, dtype=_narrow(len(lists[i])))] for i, x in enumerate(table.column("words").to_pylist())])
+
+
 def _shard(length: int, engine: Callable, k: int):
     """Windows of one part that occur again, as (entry, first window, word after the last) of the packs that hold them."""
 
     def run(table: pa.Table) -> pa.Table:
         route, n, before = _column(table, "anchors", np.uint64), _column(table, "lengths", np.uint8).astype(np.int64), _column(table, "before", np.uint8).astype(np.int64)
-        words, entry, packs = _column(table, "words", np.uint32), _column(table, "entry", np.uint32), _packs_of(table, "entry")
+        words, entry, packs = _words_of(table), _column(table, "entry", np.uint32), _packs_of(table, "entry")
         # segments of several packs can be the same
         first = np.concatenate([[0], np.cumsum(n)[:-1]])
-        content = span_hash(words.astype(np.uint64), first, first + n) ^ mix(route + before.astype(np.uint64))
-        distinct, at, which = np.unique(content, return_index=True, return_inverse=True)
-        many = np.bincount(which, _column(table, "many", np.uint8) + 1, len(distinct)) > 1
+        content = span_hash(mix(words + U(1)), first, first + n) ^ mix(route + before.astype(np.uint64))
+        at, which = alike(content, words, first, n)
+        del content
+        many = np.bincount(which, _column(table, "many", np.uint8) + 1, len(at)) > 1
         route, n, before, first = route[at], n[at], before[at], first[at]
         windows = n - length + 1
         offsets = np.concatenate([[0], np.cumsum(windows)])
@@ -274,7 +337,7 @@ def _shard(length: int, engine: Callable, k: int):
         of = np.searchsorted(offsets, run_at, side="right") - 1
         lo, hi = run_at - offsets[of], run_end - offsets[of] + length - 1
         held = np.argsort(packs, kind="stable")
-        pos, reps = _each(of, len(distinct), which[held])
+        pos, reps = _each(of, len(at), which[held])
         told = np.stack([np.repeat(entry[held], reps), lo[pos], hi[pos]], 1).astype(np.uint32)
         packs = np.repeat(packs[held], reps)
         return _table(_NAMES, [{"kind": 2, "pack": int(packs[a]), "runs": pack(told[a:b])} for a, b in _runs(packs)], True)
@@ -295,26 +358,19 @@ def _merge_spans(table: pa.Table) -> pa.Table:
     here, told = table.filter(pa.array(kind == 0)), table.filter(pa.array(kind == 2))
     rows = []
     if len(told):
-        key, start, entry = _column(here, "key", np.int64), _column(here, "start", np.uint32).astype(np.int64), _column(here, "entry", np.uint32)
+        key, doc, start, entry = _column(here, "key", np.int64).reshape(-1, 2), *(_column(here, c, np.uint32).astype(np.int64) for c in ("doc", "start", "entry"))
         runs = np.concatenate([np.frombuffer(x, dtype=np.uint32).reshape(-1, 3) for x in told.column("runs").to_pylist()]).astype(np.int64)
         runs = runs[np.argsort(runs[:, 0], kind="stable")]
         pos, reps = _each(runs[:, 0], int(entry.max()) + 1, entry)
-        key, spans = np.repeat(key, reps), runs[pos, 1:] + np.repeat(start, reps)[:, None]
-        order = np.lexsort((spans[:, 0], key))
-        key, spans = key[order], spans[order]
-        for a, b in _runs(key):
+        doc, spans = np.repeat(doc, reps), runs[pos, 1:] + np.repeat(start, reps)[:, None]
+        order = np.lexsort((spans[:, 0], doc))
+        doc, spans = doc[order], spans[order]
+        for a, b in _runs(doc):
             lo, hi = spans[a:b, 0], np.maximum.accumulate(spans[a:b, 1])
             cut = np.concatenate([[True], lo[1:] > hi[:-1]])
             ends = np.append(np.flatnonzero(cut)[1:], b - a) - 1
-            rows.append((int(key[a]), pack(np.stack([lo[cut], hi[ends]], 1).astype(np.uint32))))
-    cols = list(zip(*rows, strict=True)) if rows else [[], []]
-    return pa.Table.from_arrays([pa.array(list(c), type=t) for c, t in zip(cols, (pa.int64(), pa.binary()), strict=True)], names=["key", "spans"])
-
-
-def _small(df: DataFrame, blob: str) -> DataFrame:
-    """The side of a join, broadcast if its measured bytes allow."""
-    size = df.agg(F.sum(F.octet_length(blob) + 64)).first()[0] or 0
-    return F.broadcast(df) if size <= SMALL_SIDE else df
+            rows.append((*key[doc[a]].tolist(), pack(np.stack([lo[cut], hi[ends]], 1).astype(np.uint32))))
+    return _by_key(rows, "spans")
 
 
 def _kept(with_text: bool):
@@ -358,17 +414,22 @@ def remove_repeats(docs: DataFrame, engine: Callable, length: int, k: int, id_co
     """
     if not 0 < k < length <= 128:
         raise ValueError("0 < k < length <= 128")
-    p_n = parallelism(docs.sparkSession)
+    least = parallelism(docs.sparkSession)
     text = docs.select(column_or_null(docs, id_col, "long").alias("doc_id"), column_or_null(docs, text_col, "string").alias("text"))
-    text = text.withColumn("key", F.xxhash64("doc_id", "text"))
+    text = text.withColumn("k1", F.xxhash64("doc_id", "text")).withColumn("k2", F.xxhash64("text", F.lit(1), "doc_id"))
+    parted = lambda n: max(least, -(-int(n or 0) // PART))
+    # an anchor is 16 bytes, and there is one for half a window of words, which are at least 2 bytes each
+    p_n = parted(16 * (text.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (length - k + 2))
     # a text is within one pack; rows alike in id and text have one key, and the same answers
-    found = written(text.select("key", "text").mapInArrow(_find(length, k, p_n, per_pack), _ANCHORS))
+    found = written(text.select(*_KEY, "text").mapInArrow(_find(length, k, p_n, per_pack), _ANCHORS))
     again = found.filter("kind = 1").groupBy("p").applyInArrow(_again(hot), _ANCHORS)
-    asked = found.filter("kind = 0").unionByName(again).groupBy("pack").applyInArrow(_by_text, "key long, numbers binary")
-    asked = written(asked.groupBy("key").agg(F.first("numbers").alias("numbers")))
-    dealt = written(text.select("key", "text").join(_small(asked, "numbers"), "key").mapInArrow(_deal(length, k, p_n, per_pack), _SEGMENTS))
+    asked = found.filter("kind = 0").unionByName(again).groupBy("pack").applyInArrow(_by_text, "k1 long, k2 long, numbers binary")
+    asked = written(asked.groupBy(*_KEY).agg(F.first("numbers").alias("numbers")))
+    # a segment has some 1.5 windows of words, of 2 to 4 bytes, and 20 bytes besides
+    p_n = parted((asked.agg(F.sum(F.octet_length("numbers"))).first()[0] or 0) // 4 * (5 * length + 20))
+    dealt = written(text.select(*_KEY, "text").join(small(asked, F.octet_length("numbers")), _KEY).mapInArrow(_deal(length, k, p_n, per_pack), _SEGMENTS))
     shards = dealt.filter("kind = 1").groupBy("p").applyInArrow(_shard(length, engine, k), _SEGMENTS)
-    spans = dealt.filter("kind = 0").unionByName(shards).groupBy("pack").applyInArrow(_merge_spans, "key long, spans binary")
-    spans = written(spans.groupBy("key").agg(F.first("spans").alias("spans")))
+    spans = dealt.filter("kind = 0").unionByName(shards).groupBy("pack").applyInArrow(_merge_spans, "k1 long, k2 long, spans binary")
+    spans = written(spans.groupBy(*_KEY).agg(F.first("spans").alias("spans")))
     kept = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string, removed array<struct<first:int,end:int>>" if with_text else "")
-    return text.join(_small(spans, "spans"), "key", "left").select("doc_id", "text", "spans").mapInArrow(_kept(with_text), kept)
+    return text.join(small(spans, F.octet_length("spans")), _KEY, "left").select("doc_id", "text", "spans").mapInArrow(_kept(with_text), kept)

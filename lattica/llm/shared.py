@@ -8,7 +8,10 @@ from pyspark.sql import types as T
 
 from lattica.sources.scratch import folder, written
 
-__all__ = ["column_or_null", "folder", "id_and_text", "parallelism", "struct", "written"]
+__all__ = ["SMALL_SIDE", "column_or_null", "folder", "id_and_text", "parallelism", "small", "struct", "written"]
+
+#: Bytes up to which a looked-up side is broadcast.
+SMALL_SIDE = 32 << 20
 
 
 def parallelism(spark: SparkSession) -> int:
@@ -25,5 +28,10 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str, as_id: str = "doc_i
     return docs.select(column_or_null(docs, id_col, "long").alias(as_id), column_or_null(docs, text_col, "string").alias(as_text))
 
 
+def small(df: DataFrame, size, limit: int = SMALL_SIDE) -> DataFrame:
+    """The side of a join, broadcast if its measured bytes (`size` in a row, and 64) allow."""
+    return F.broadcast(df) if (df.agg(F.sum(size + F.lit(64))).first()[0] or 0) <= limit else df
+
+
 def struct(text: str) -> T.StructType:
     return T._parse_datatype_string(text)
