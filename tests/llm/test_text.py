@@ -201,20 +201,26 @@ def test_base_spans_equal_patterns():
     assert pii.base_spans("a" * 200_000 + "1" * 200_000) == []
 
 
+def near_words(text, spans, reach):
+    """By looking at every word for every span."""
+    words = [(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+    out = []
+    for a, k, b in spans:
+        near = [w for w in words if w[1] <= a][-reach:] + [w for w in words if w[0] >= b][:reach]
+        named = [(x, y, text[x:y].strip(".,;:!?\"'()[]{}<>|*#$%&").lower()) for x, y in near if not any(c < y and x < d for c, _, d in spans)]
+        out.append((a, k, b, [n for n in named if n[2] and not n[2].isdigit()]))
+    return out
+
+
 def test_words_around_entities():
     import random
     import time
 
     r = random.Random(9)
     for _ in range(300):
-        text = " ".join(r.choice(["a@b.co", "+1 555 123 4567", "4111 1111 1111 1111", "1.2.3.4", "word", "Other,", "x" * 90, "7"]) for _ in range(25))
+        text = " ".join(r.choice(["a@b.co", "+1 555 123 4567", "4111 1111 1111 1111", "1.2.3.4", "word", "Other,", "x" * 300, "7", "...", "(a@b.co)"]) for _ in range(25))
         spans = pii.base_spans(text)
-        for a, k, b, near in pii._around(text, spans, 3):
-            assert (a, k, b) in spans
-            for m, t in near:
-                assert not any(x < m.end() and m.start() < y for x, _, y in spans) and t == pii._term(m[0]) and not t.isdigit()
-                assert text[m.start() - 1 : m.start()].strip() == "" or m.start() == b
-                assert text[m.end() : m.end() + 1].strip() == "" or m.end() == a
+        assert list(pii._around(text, spans, 3)) == near_words(text, spans, 3)
     # many entities, with and without spaces between them, and one endless word
     for text in ("|".join(["a@b.co"] * 30_000), "a@b.co " * 30_000, "a@b.co " + "y" * 1_000_000):
         started = time.time()
@@ -222,6 +228,82 @@ def test_words_around_entities():
         assert time.time() - started < 20
 
 
+def brute_pii(rows, reach=pii.REACH, threshold=pii.THRESHOLD, strong=pii.STRONG, z=pii.DEVIATE):
+    """All columns of find_pii by plain loops over distinct texts."""
+    from math import log, sqrt
+
+    def bound(hits, n, z):
+        p = hits / n
+        return (p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+    texts = {t or "" for _, t in rows}
+    holds, near, has = Counter(), Counter(), Counter()
+    for t in texts:
+        pairs = {(f"{k}:{t[a:b]}", w) for a, k, b, around in near_words(t, plain(t), reach) for *_, w in around}
+        near.update(pairs)
+        holds.update({e for e, _ in pairs})
+        has.update({w.strip(".,;:!?\"'()[]{}<>|*#$%&").lower() for w in re.findall(r"[^\x20\x09-\x0D]+", t)})
+    share = {}
+    for (e, w), n in near.items():
+        given, prior = bound(n, max(n, has[w]), z), bound(holds[e], max(len(texts), 2), -z)
+        s = 1 - log(given) / log(prior) if prior < 1 and given > 0 else 0
+        share[w] = max(share.get(w, -9), s)
+    names = [k for k, _ in KINDS] + ["term", "strong"]
+    out = []
+    for i, t in rows:
+        base = plain(t or "")
+        joined = ",".join(f"{names[k]}:{a}:{b}" for a, k, b in base)
+        more = []
+        for m in re.finditer(r"[^\x20\x09-\x0D]+", t or ""):
+            s = share.get(m[0].strip(".,;:!?\"'()[]{}<>|*#$%&").lower(), -9)
+            if s >= threshold and not any(c < m.end() and m.start() < d for c, _, d in base):
+                more.append((m.start(), 5 if s >= strong else 4, m.end()))
+        out.append((i, *(sum(k == j for _, k, _ in base) for j in range(4)), hashlib.sha256(joined.encode()).hexdigest(), ",".join(f"{names[k]}:{a}:{b}" for a, k, b in sorted(base + more)), len(more)))
+    return out
+
+
+def test_pii_equals_brute_force(spark):
+    import random
+
+    r = random.Random(12)
+    entities = [f"p{i}@mail{i % 3}.org" for i in range(12)] + ["+49 30 1234567", "10.0.0.7", "4111 1111 1111 1111"]
+    rows = []
+    for i in range(500):
+        words = prose(r.randrange(0, 60), i, vocab=150).split()
+        if i % 5 == 0:
+            e = r.randrange(len(entities))
+            at = r.randrange(len(words) + 1)
+            words[at:at] = [f"Name{e}", entities[e], r.choice([f"Ort{e},", "é", "7"])]
+        if i % 7 == 0:
+            words.append(f"name{r.randrange(len(entities))}")
+        rows.append((i, " ".join(words)))
+    rows += [rows[5], (None, rows[5][1]), (None, None), (7, ""), (9, rows[10][1]), (9, rows[15][1])]
+    want = brute_pii(rows)
+    got = [tuple(x) for x in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert any("term:" in x[6] for x in want) and any("strong:" in x[6] for x in want)
+    # a term without its entity in the text
+    assert any(x[7] and not sum(x[1:5]) for x in want)
+
+
+def test_pii_of_odd_texts(spark):
+    zeros = "0" * 5000
+    rows = [(0, f"x {zeros}.1.2.3 y"), (1, "1." * 3 + "9" * 6000), (2, "a@b.co " + "z" * 400_000)]
+    got = {x.doc_id: x for x in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0].n_ip == 1 and got[1].n_ip == 0 and got[2].n_email == 1
+    # bytes that aren't UTF-8
+    bad = spark.sql("SELECT 1L AS doc_id, cast(X'FF2061406222E280'||X'2078406A2E636F20FE' AS string) AS text")
+    one = pii.find_pii(bad).first()
+    assert (one.n_email, one.spans.split(",")[0]) == (1, "email:8:14")
+    assert pii.sanitise(bad).first().text.count("<email>") == 1
+    same = spark.createDataFrame([(None, "mail a@b.co now"), (None, "mail a@b.co now"), (1, None), (1, "mail a@b.co now"), (1, "plain")], "doc_id long, text string")
+    assert sorted(str(x.text) for x in pii.sanitise(same).collect()) == sorted(["None", "plain", *["mail <email> now"] * 3])
+
+
+def test_generalised_words():
+    assert [pii.generalised(w) for w in ("Rotterdam,", "1,234", "AB-12", "NATO", "office", "--")] == ["<name>", "<number>", "<code>", "<abbreviation>", "<word>", "<mark>"]
+
+
 def test_disclosing_terms(spark, empty, odd):
     rows = [(i, f"{prose(8, i)} shared{i} clearly Rotterdam office writes boss@secret.org about {prose(8, 50 + i)}") for i in range(8)]
     rows += [(100 + i, prose(20, 900 + i) + " clearly nothing") for i in range(150)]
@@ -231,17 +313,18 @@ def test_disclosing_terms(spark, empty, odd):
     text = dict(rows)
     assert len(got) == len(rows) and got[300].base_sha256 == hashlib.sha256(b"").hexdigest()
     for i in range(8):
-        words = {text[i][int(a) : int(b)] for k, a, b in (s.split(":") for s in got[i].spans.split(",")) if k == "term"}
+        words = {text[i][int(a) : int(b)] for k, a, b in (s.split(":") for s in got[i].spans.split(",")) if k in ("term", "strong")}
         assert {"Rotterdam", "office", "writes"} <= words and "clearly" not in words
         assert [s for s in got[i].spans.split(",") if s.startswith("email")] == [f"email:{a}:{b}" for a, k, b in plain(text[i])]
     assert all(got[i].n_term == 0 for i in got if i >= 100)
     clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
     assert "Rotterdam" not in clean[0] and "boss@" not in clean[0] and "<email>" in clean[0] and clean[100] == text[100] and clean[300] is None
+    assert len(clean) == len(rows)
     assert pii.find_pii(empty).count() == 0 and pii.find_pii(odd).count() == odd.count()
 
 
 def term_words(row, text):
-    return {text[int(a) : int(b)] for k, a, b in (s.split(":") for s in row.spans.split(",")) if k == "term"}
+    return {text[int(a) : int(b)] for k, a, b in (s.split(":") for s in row.spans.split(",")) if k in ("term", "strong")}
 
 
 def test_single_sightings_disclose(spark):
@@ -268,39 +351,109 @@ def test_copies_hide_no_disclosure(spark):
 # --- language model
 
 
-def test_lm_beats_counts_and_scores_sum(spark, empty, odd):
-    """In a language where each word calls for the next, the network must beat the counts of words."""
+def two_tongues(n=240, words=80):
+    """Texts in two languages that share no word but the frequent ones of each, and rare words of either."""
     import random
 
-    r = random.Random(0)
-    texts = []
-    for _ in range(400):
-        w, out = r.randrange(20), []
-        for _ in range(60):
-            out.append(f"t{w}")
-            w = (w + 1) % 20 if r.random() < 0.9 else r.randrange(20)
-        texts.append(" ".join(out))
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(900, None), (901, ""), (902, " ".join(f"t{r.randrange(20)}" for _ in range(60)))], "doc_id long, text string").repartition(3)
-    counts = lm_score.word_counts(df)
-    assert counts.sum() == 400 * 60 + 60
-    got = {x.doc_id: x for x in lm_score.score(df, mask=2, rounds=12).collect()}
-    trained = np.mean([got[i].per_word for i in range(400)])
-    assert trained > -np.log(20) + 0.3 and got[902].per_word < trained
-    assert got[900].n_words == 0 and got[900].log_likelihood == 0 and got[901].per_word == 0
-    assert all(got[i].log_likelihood == pytest.approx(got[i].per_word * got[i].n_words) for i in got)
-    assert lm_score.score(empty).count() == 0 and lm_score.score(odd).count() == odd.count()
+    r = random.Random(5)
+    out = []
+    for i in range(n):
+        own = "ab"[i % 2]
+        out.append(" ".join(f"{own}{r.randrange(12)}" if r.random() < 0.5 else f"{own}rare{r.randrange(4000)}" for _ in range(words)))
+    return out
+
+
+def test_lm_beats_unigrams_on_held_out_texts(spark):
+    """With production parameters."""
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(list(enumerate(two_tongues())), "doc_id long, text string").repartition(3)
+    coded, mass = lm_score.coded_texts(df)
+    net = lm_score.train(coded.filter("doc_id % 5 > 0"), mass)
+    flat = lm_score.Network.new(len(mass), 4, 2, np.log((mass + 1) / (mass + 1).sum()))
+    flat.out[:] = 0
+    mean = lambda n: lm_score.score_coded(coded.filter("doc_id % 5 = 0"), n, mass).agg(F.sum("class_likelihood") / F.sum("n_words")).first()[0]
+    assert mean(net) > mean(flat) + 0.4
+
+
+def test_lm_score_equals_brute_force(spark, odd, empty):
+    texts = two_tongues(60, 40) + ["", None, "one", " ".join(["a1"] * 30), two_tongues(1, 40)[0]]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame([*rows, (None, texts[3]), rows[4]], "doc_id long, text string").repartition(4)
+    coded, mass = lm_score.coded_texts(df, per_pack=200)
+    net = lm_score.train(coded, mass)
+    got = sorted(map(tuple, lm_score.score_coded(coded, net, mass).collect()), key=str)
+    counts, classes = Counter(), {}
+    for t in [*texts, texts[3], texts[4]]:
+        counts.update((t or "").split())
+    of = {r.doc_id: (r.classes, r.log_counts) for r in coded.filter("doc_id IS NOT NULL").collect()}
+    for i, t in rows:
+        for w, c in zip((t or "").split(), of[i][0], strict=True):
+            assert classes.setdefault(w, c) == c
+        assert of[i][1] == pytest.approx(sum(np.log(counts[w]) for w in (t or "").split()))
+    total = Counter()
+    for w, n in counts.items():
+        total[classes[w]] += n
+    assert all(mass[c] == total[c] for c in range(len(mass)))
+    top = {w for w, _ in counts.most_common(lm_score.OWN // 2)}
+    assert len({classes[w] for w in top}) == len(top) and all(classes[w] < lm_score.OWN for w in top)
+
+    def one(text):
+        c, by_class, within = [classes[w] for w in (text or "").split()], 0.0, 0.0
+        for i, w in enumerate((text or "").split()):
+            near = [c[j] if 0 <= j < len(c) else len(mass) for j in (i - 2, i - 1, i + 1, i + 2)]
+            h = np.tanh(net.bias + sum(net.place[p][x] for p, x in enumerate(near)))
+            z = h @ net.out + net.prior
+            by_class += z[c[i]] - np.log(np.exp(z).sum())
+            within += np.log(counts[w] / total[c[i]])
+        return len(c), by_class + within, (by_class + within) / max(len(c), 1), by_class
+
+    want = sorted([(i, *one(t)) for i, t in [*rows, (None, texts[3]), rows[4]]], key=str)
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert np.allclose([x[2:] for x in got], [x[2:] for x in want], atol=1e-3)
+    again = sorted(map(tuple, lm_score.score_coded(coded.repartition(7), net, mass).collect()), key=str)
+    assert np.allclose([x[2:] for x in got], [x[2:] for x in again], atol=1e-4)  # whatever the batches
+    assert lm_score.score(empty).count() == 0
+    strange = lm_score.score(odd).collect()
+    assert sorted((str(x.doc_id), x.n_words) for x in strange) == sorted((str(x.doc_id), len((x.text or "").split())) for x in odd.collect())
+    assert all(x.log_likelihood == 0 == x.per_word for x in strange if not x.n_words)
+
+
+def test_votes_and_company_equal_brute_force(spark):
+    texts = two_tongues(20, 50) + ["", None, "a1"]
+    w = Words(pa.array(texts))
+    counts = np.bincount(lm_score.cells_of(w.hash), minlength=lm_score.CELLS)
+    table = lm_score.probe_table(counts, 10)
+    probe = table[lm_score.cells_of(w.hash)]
+    near = lm_score.company(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), table, 10, 3)
+    want = np.zeros((10, 10))
+    for i in range(len(texts)):
+        mine = [p for p in probe[w.first[i] : w.first[i + 1]].tolist() if p < 10]
+        for x in range(len(mine)):
+            for y in range(x + 1, min(len(mine), x + 4)):
+                want[mine[x], mine[y]] += 1
+                want[mine[y], mine[x]] += 1
+    assert (near == want).all()
+    speaks = lm_score.contexts(near, 4)
+    got = lm_score.votes(w, probe, speaks, 3)
+    for i in range(len(texts)):
+        lo, hi = int(w.first[i]), int(w.first[i + 1])
+        at = [j for j in range(lo, hi) if probe[j] < 10]
+        for j in range(lo, hi):
+            before = sum(x < j for x in at)
+            assert got[j] == speaks[probe[at[max(0, before - 3) : before + 4]]].sum(0).argmax()
 
 
 def test_rounds_mask_every_place():
     """With production parameters: each place is a target once, and a pair of words isn't always met in the same round."""
     w = Words(pa.array([prose(400, i, vocab=20) for i in range(20)] + ["", "one", None]))
-    rounds = [lm_score._masked(w, lm_score.MASK, r) for r in range(lm_score.ROUNDS)]
+    seeds = span_hash(w.hash, w.first[:-1], w.first[1:])
+    rounds = [lm_score.masked(seeds, w.counts, lm_score.MASK, r) for r in range(lm_score.ROUNDS)]
     assert sorted(np.concatenate(rounds).tolist()) == list(range(len(w.doc)))
     pair = lambda i: (int(w.hash[i]), int(w.hash[i + 1]))
     seen = Counter(pair(i) for i in range(len(w.doc) - 1))
     often = {p for p, n in seen.items() if n >= 16}
     assert len(often) > 50 and all(often <= {pair(i) for i in at if i + 1 < len(w.doc)} for at in rounds)
-    assert len(lm_score._masked(Words(pa.array([None, ""])), 2, 0)) == 0
 
 
 def test_gradient_is_right():
@@ -308,9 +461,7 @@ def test_gradient_is_right():
     net = lm_score.Network.new(5, 4, 1, np.zeros(5))
     net = lm_score.Network(*(a.astype(np.float64) for a in net.arrays()))
     ctx, y = r.integers(0, 6, (2, 7)), r.integers(0, 5, 7)
-    before = [a.copy() for a in net.arrays()]
-    net.step(ctx, y, 1.0)
-    moved = [b - a for a, b in zip(net.arrays(), before, strict=True)]
+    moved, before = net.gradients(ctx, y), [a.copy() for a in net.arrays()]
     for which in range(4):
         for spot in list(np.ndindex(before[which].shape))[:6]:
             def loss(e, which=which, spot=spot):
