@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from lattica.llm import exact_dedup, fm_dedup, jaccard_join, sharding, suffix_dedup
+from lattica.llm import exact_dedup, fm_dedup, jaccard_join, repeats, sharding, suffix_dedup
 from lattica.llm.components import connected
 
 from .conftest import prose
@@ -83,6 +83,58 @@ def test_jaccard_equals_brute_force(docs, rows, options):
     assert got == components(rows)
 
 
+def test_sets_that_share_a_name(docs, rows):
+    """With names of so few bits, many sets share one."""
+    got = sorted(map(tuple, jaccard_join.jaccard_groups(docs, name_bits=7).collect()))
+    assert got == components(rows)
+
+
+def mirrored(levels):
+    """Two words of the letters a and b that every polynomial hash modulo 2**64 takes for one."""
+    x, y = "a", "b"
+    for _ in range(levels):
+        x, y = x + y, y + x
+    return x, y
+
+
+def test_words_built_to_collide(spark):
+    x, y = mirrored(11)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(z if i in (10, 30, 50) else w for i, w in enumerate(base)) for z in (x, y)]
+    rows = [(0, texts[0], "", "", 0), (1, texts[1], "", "", 0), (2, texts[0] + " end", "", "", 0)]
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    for operator in (fm_dedup.fm_dedup, suffix_dedup.suffix_dedup):
+        assert sorted(map(tuple, operator(df, 35, 8).collect())) == brute_repeats(rows, 35)
+        assert [r.n_removed for r in operator(df.filter("doc_id < 2")).collect()] == [0, 0]
+    assert sorted(map(tuple, jaccard_join.jaccard_groups(df).collect())) == components(rows)
+
+
+def test_rows_with_one_key_are_compared():
+    import numpy as np
+
+    words = np.array([1, 2, 3, 1, 2, 4, 1, 2, 3, 9, 9, 1, 2], dtype=np.uint32)
+    key = np.array([5, 5, 5, 5, 7, 5])
+    at, which = repeats.alike(key, words, np.array([0, 3, 6, 9, 9, 11]), np.array([3, 3, 3, 2, 2, 2]))
+    assert len(at) == 5 and which[0] == which[2] and len({*which.tolist()}) == 5 and (which[at] == np.arange(5)).all()
+
+
+def test_segments_of_parts_of_a_text():
+    """A long text is looked at in parts: every window has the anchor that it has in one go."""
+    import numpy as np
+    import pyarrow as pa
+
+    texts = pa.array([prose(300, 1, vocab=30), None, prose(5, 2), prose(200, 3, vocab=20)])
+
+    def windows(s):
+        return {(d, w): (int(s.anchor[i]), int(s.hash[i])) for i, d in enumerate(s.doc.tolist()) for w in range(s.first[i], s.last[i] + 1)}
+
+    whole = repeats.Segments(texts, 20, 5)
+    for span in (7, 50, 181):
+        parts = repeats.Segments(texts, 20, 5, span)
+        assert windows(parts) == windows(whole) and len(parts.first) >= len(whole.first)
+        assert all((np.diff(parts.number[parts.doc == d]) == 1).all() for d in range(4))
+
+
 def test_jaccard_odd_and_empty(odd, empty):
     got = jaccard_join.jaccard_groups(odd)
     assert got.count() == odd.count()
@@ -124,7 +176,8 @@ def test_components(spark):
     frame = spark.createDataFrame(edges, "u long, v long")
     got = {r.node: r.root for r in connected(frame).collect()}
     assert {r.node: r.root for r in connected(frame, heavy=3).collect()} == got
-    assert {r.node: r.root for r in connected(frame, heavy=1, most=4).collect()} == got
+    assert {r.node: r.root for r in connected(frame, heavy=1, most=4, local=5).collect()} == got
+    assert {r.node: r.root for r in connected(frame, heavy=3, local=9).collect()} == got
     assert all(got[i] == 0 for i in range(41)) and got[102] == 100 and got[201] == 200 and len(got) == 41 + 3 + 2
     assert connected(spark.createDataFrame([], "u long, v long")).count() == 0
 
