@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.shared import column_or_null, small, written
+from lattica.llm.shared import bitmap, column_or_null, small, written
 from lattica.llm.text import Words, pieces
 
 KINDS = ("email", "ip", "card", "phone")
@@ -255,23 +255,9 @@ def _count(bits: np.ndarray, copied: np.ndarray):
     return run
 
 
-def _bitmap(terms: DataFrame) -> np.ndarray:
-    """Bits of all terms (or texts): collected as blocks of a fixed total size, whatever their number."""
-    block = 1 << 16
-
-    def run(table: pa.Table) -> pa.Table:
-        slot = table.column("slot")[0].as_py()
-        bits = np.zeros(block, dtype=bool)
-        bits[table.column("bit").to_numpy()] = True
-        return pa.table({"slot": pa.array([slot], type=pa.int64()), "bits": pa.array([np.packbits(bits).tobytes()], type=pa.binary())})
-
-    spot = F.col("term").bitwiseAND(BITS - 1)
-    # distinct spots are at most BITS, and a block's at most 65536
-    spots = terms.select(F.shiftright(spot, 16).alias("slot"), spot.bitwiseAND(block - 1).alias("bit")).distinct()
-    out = np.zeros(BITS, dtype=bool)
-    for slot, bits in spots.groupBy("slot").applyInArrow(run, "slot long, bits binary").collect():
-        out[slot * block : (slot + 1) * block] = np.unpackbits(np.frombuffer(bits, dtype=np.uint8)).astype(bool)
-    return out
+def _bitmap(terms: DataFrame, column: str = "term") -> np.ndarray:
+    """Bits of all terms, or texts."""
+    return np.unpackbits(bitmap(terms, column, BITS), bitorder="little").astype(bool)
 
 
 def _bound(hits, trials, deviate: float):
@@ -288,7 +274,7 @@ def disclosing_terms(found: DataFrame, text: DataFrame, threshold: float = THRES
     entities = near.select("entity", "copy").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     copies = written(found.groupBy("copy").agg(F.count("*").alias("n")))
     n_texts = F.lit(float(max(copies.count(), 2)))
-    copied = _bitmap(copies.filter("n > 1").select(F.col("copy").alias("term")))
+    copied = _bitmap(copies.filter("n > 1"), "copy")
     held = text.mapInArrow(_count(_bitmap(both), copied), "copy long, term long, n long").groupBy("copy", "term").agg(F.sum("n").alias("n"))
     counted = held.groupBy("term").agg(F.sum(F.when(F.col("copy").isNull(), F.col("n")).otherwise(1)).alias("n_term"))
     joined = both.join(entities, "entity").join(counted, "term", "left")

@@ -142,7 +142,7 @@ def test_contamination(spark, empty, odd):
         got = {(r.doc_id, r.leaked, r.item_ids) for r in decontaminate.contamination(docs, bench, few=few).collect()}
         assert got == {(0, True, "1"), (1, True, "0"), (1, False, ""), (2, False, ""), (3, False, ""), (4, False, ""), (5, False, ""), (6, False, ""), (7, True, "4")}, few
     kept = decontaminate.drop_contaminated(docs, bench)
-    assert {r.doc_id for r in kept.collect()} == {2, 3, 4, 5, 6}
+    assert {r.doc_id for r in kept.collect()} == {1, 2, 3, 4, 5, 6}  # another row of id 1 leaks
     assert decontaminate.contamination(empty, bench).count() == 0
     assert decontaminate.contamination(docs, bench.limit(0)).filter("leaked").count() == 0
     assert decontaminate.drop_contaminated(odd, bench).columns == odd.columns
@@ -173,6 +173,109 @@ def test_items_without_literals(spark):
     assert {r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()} == {3, 4}
 
 
+def test_short_and_number_heavy_items(spark):
+    """Every item that stands in a document word for word is found, however short it is and whatever its words are taken for."""
+    items = ["What is 17 * 23 ?", "Add 12 34 56 78 90 11 to 5 7 9", "What year was it", "Zweiundvierzig", "1 2", "Der Hund sieht das Haus und die Katze am Abend im Garten", "Anna Ben Carl", "7"]
+    bench = spark.createDataFrame([*enumerate(items), (50, ""), (51, None), (52, "  ")], "item_id long, text string")
+    rows = [(i, f"{prose(12, 60 + i)} so {t} {prose(9, 90 + i)}") for i, t in enumerate(items)]
+    rows += [(100, "what year was he"), (101, "add 13 35 57 79 91 12 to 6 8 8"), (102, "2 1"), (103, None), (104, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for few in (4_000_000, 0):
+        got = {r.doc_id: set(r.item_ids.split(",")) - {""} for r in decontaminate.contamination(docs, bench, few=few).collect()}
+        assert all(str(i) in got[i] for i in range(len(items))), got
+        assert not any(got[i] for i in range(100, 105)), got
+    assert {r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()} >= {100, 103, 104}
+
+
+def test_names_and_nouns():
+    kinds = lambda t: decontaminate.Canon().of(Words(pa.array([t])))[2].tolist()
+    lit, name = decontaminate.LITERALS, decontaminate.NAME
+    assert kinds("wir sehen das Haus von Anna und die Katze") == [lit, lit, lit, lit, lit, name, lit, lit, lit]
+    assert kinds("Once Anna ran. Then Ben NASA 5 km") == [lit, name, lit, lit, name, lit, decontaminate.NUMBER, decontaminate.UNIT]
+
+
+def brute_contamination(rows, items):
+    """All displacements of all items over all documents, place by place."""
+    from math import ceil
+
+    def tokens(t):
+        w = Words(pa.array([t or ""]))
+        template, slots, kind, value = decontaminate.Canon().of(w)
+        return template.tolist(), slots.tolist(), kind.tolist(), value.tolist()
+
+    out = {}
+    told = [(j, tokens(t)) for j, t in items]
+    for i, t in rows:
+        dt, ds, dk, dv = tokens(t)
+        found = {}
+        for j, (bt, bs, bk, bv) in told:
+            k = min(decontaminate.WINDOW, len(bt))
+            for shift in range(-len(bt), len(dt)) if k else []:
+                words, literal = set(), set()
+                for b in range(len(bt) - k + 1):
+                    d = b + shift
+                    if d < 0 or d + k > len(dt):
+                        continue
+                    if dv[d : d + k] == bv[b : b + k]:
+                        literal |= set(range(b, b + k))
+                        words |= set(range(b, b + k))
+                    if bt[b : b + k] == dt[d : d + k] and sum(x == 0 for x in bk[b : b + k]) >= decontaminate.LITERAL:
+                        words |= set(range(b, b + k))
+                        if ds[d : d + k] == bs[b : b + k]:
+                            literal |= set(range(b, b + k))
+                        for p in range(b, b + k):
+                            if ds[p + shift]:
+                                found.setdefault(("places", j, shift), set()).add((p, ds[p + shift], bs[p], bk[p] == decontaminate.NAME))
+                places = found.pop(("places", j, shift), set())
+                pairs = Counter((n, d, b) for _, d, b, n in places)
+                most = lambda x, total: 2 * x > total
+                of_d, of_b = Counter(), Counter()
+                for (n, d, b), c in pairs.items():
+                    of_d[n, d] += c
+                    of_b[n, b] += c
+                lost = sum(c for (n, d, b), c in pairs.items() if not (most(c, of_d[n, d]) and most(c, of_b[n, b])))
+                other = any(n and not (most(max(c for (m, x, _), c in pairs.items() if (m, x) == (n, d)), of_d[n, d]) and most(max(c for (m, _, y), c in pairs.items() if (m, y) == (n, b)), of_b[n, b])) for n, d, b in pairs)
+                covered = len(literal) if other else max(len(words) - lost, len(literal))
+                if covered >= min(decontaminate.COVER, ceil(len(bt) * decontaminate.SHARE)) and covered:
+                    found[j] = max(found.get(j, 0), covered)
+        out[i] = (",".join(map(str, sorted(found))), max(found.values(), default=0))
+    return out
+
+
+def test_contamination_equals_brute_force(spark):
+    import random
+
+    r = random.Random(31)
+    word = lambda: r.choice(["Anna", "Ben", "Carl", "7", "12", "km", "the", "Hund", "w1", "w2", "w3", "w4", "w5", "w6.", "w7", "sees"])
+    items = [(j, " ".join(word() for _ in range(r.choice([1, 3, 6, 9, 14, 25])))) for j in range(12)]
+    rows = []
+    for i in range(60):
+        words = items[r.randrange(12)][1].split() if i % 3 else [word() for _ in range(30)]
+        swap = {w: word() for w in ("Anna", "Ben", "7", "12")} if i % 2 else {}
+        words = [swap.get(w, w) if r.random() < 0.95 else word() for w in words]
+        rows.append((i, " ".join(["x", *words, "y"] + [word() for _ in range(i % 4)])))
+    want = brute_contamination(rows, items)
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    got = {x.doc_id: (x.item_ids, x.covered) for x in decontaminate.contamination(docs, bench).collect()}
+    key = lambda v: (",".join(sorted(v[0].split(","), key=int)) if v[0] else "", v[1])
+    assert {i: key(v) for i, v in got.items()} == {i: key(v) for i, v in want.items()}
+    assert 10 < sum(bool(v[0]) for v in want.values())
+
+
+def test_contamination_of_odd_rows(spark, odd):
+    """Null and repeated ids, of documents and items, and rows of one id with different texts."""
+    item = prose(20, 7)  # the first words of the odd table's text
+    bench = spark.createDataFrame([(None, item), (5, item), (5, "wholly other words that nobody wrote")], "item_id long, text string")
+    got = sorted((str(r.doc_id), r.leaked, r.n_items, r.item_ids) for r in decontaminate.contamination(odd, bench).collect())
+    text = {r.text for r in odd.collect() if r.text and item in r.text}
+    assert got == sorted((str(r.doc_id), r.text in text, 2 if r.text in text else 0, "5" if r.text in text else "") for r in odd.collect())
+    kept = decontaminate.drop_contaminated(odd, bench)
+    assert kept.columns == odd.columns and sorted(map(str, kept.collect())) == sorted(str(r) for r in odd.collect() if r.text not in text)
+    both = spark.createDataFrame([(1, f"a {item} b"), (1, "clean"), (1, None), (None, item), (None, "clean")], "doc_id long, text string")
+    assert sorted((str(r.doc_id), str(r.text)) for r in decontaminate.drop_contaminated(both, bench).collect()) == [("1", "None"), ("1", "clean"), ("None", "clean")]
+    assert decontaminate.drop_contaminated(both.select("doc_id"), bench).count() == 5
+
+
 # --- personal data
 
 KINDS = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
