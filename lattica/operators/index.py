@@ -1,6 +1,7 @@
-"""Spatial index: points with a cell, and a small table of cells with their bounding boxes.
+"""Spatial index: points with a cell, and a table of cells with their bounding boxes.
 
-The number of cells is bounded by ``MAX_CELLS``, whatever the number of points, so the cell table may be broadcast.
+Cells come in levels. The finest have about `leafsize` points, so their number grows with the points; a cell of the next level
+holds up to 64 of them, and so on up to the first level of at most ``TOP_CELLS`` cells, which alone is broadcast.
 """
 
 from __future__ import annotations
@@ -8,12 +9,13 @@ from __future__ import annotations
 import math
 import warnings
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions.metrics import AXES, L2, metric_for
 
-MAX_CELLS = 4096
+#: Cells of the first level, which is broadcast; halvings of space from one level to the next (a third of them on each axis).
+TOP_CELLS, HALVINGS = 4096, 6
 
 
 def domain_violations(df: DataFrame, box: float) -> DataFrame:
@@ -25,6 +27,12 @@ def domain_violations(df: DataFrame, box: float) -> DataFrame:
     return df.agg(F.count_if(~inside).alias("violations"), F.count("*").alias("n"))
 
 
+def check_domain(points: DataFrame, metric: L2) -> None:
+    """Points of a periodic box lie inside it."""
+    if metric.periodic and domain_violations(points, metric.box).first()["violations"]:
+        raise ValueError("with a periodic box, positions must lie in [0, boxsize]")
+
+
 def assign_grid_cells(df: DataFrame, lo: tuple[float, ...], step: float, bins: int) -> DataFrame:
     cell = None
     for a, low in zip(AXES, lo, strict=True):
@@ -34,12 +42,12 @@ def assign_grid_cells(df: DataFrame, lo: tuple[float, ...], step: float, bins: i
 
 
 def assign_median_cells(df: DataFrame, depth: int) -> DataFrame:
-    """Balanced splits at approximate medians, axes in turn; each round's split table has at most 2**depth rows."""
+    """Balanced splits at approximate medians, axes in turn. The splits of a round are broadcast while they are at most TOP_CELLS."""
     out = df.withColumn("cell_id", F.lit(1).cast("long"))
     for d in range(depth):
         axis = AXES[d % 3]
         splits = out.groupBy("cell_id").agg(F.percentile_approx(axis, 0.5).alias("_split"))
-        out = out.join(F.broadcast(splits), "cell_id").select(
+        out = out.join(F.broadcast(splits) if 1 << d <= TOP_CELLS else splits, "cell_id").select(
             *df.columns, (F.col("cell_id") * 2 + (F.col(axis) > F.col("_split")).cast("long")).alias("cell_id")
         )
     return out
@@ -54,35 +62,61 @@ def cell_table(celled: DataFrame) -> DataFrame:
 class SpatialIndex:
     """Immutable index over points(id, x, y, z)."""
 
-    def __init__(self, points: DataFrame, metric: L2, celled: DataFrame, n: int, leafsize: int, method: str):
+    def __init__(self, points: DataFrame, metric: L2, celled: DataFrame, n: int, leafsize: int, method: str, size: int, top: int):
         self.source, self.metric, self.points, self.n, self.leafsize, self.method = points, metric, celled, n, leafsize, method
         self.cells = cell_table(celled)
+        #: Bins on an axis of the grid, or halvings of space.
+        self._size, self.depth = size, 0
+        while self._cells_of(self.depth) > top:
+            self.depth += 1
 
     @classmethod
-    def build(cls, points: DataFrame, leafsize: int = 128, boxsize: float | None = None, method: str = "grid", max_cells: int = MAX_CELLS, **ignored) -> SpatialIndex:
+    def build(cls, points: DataFrame, leafsize: int = 128, boxsize: float | None = None, method: str = "grid", top_cells: int = TOP_CELLS, **ignored) -> SpatialIndex:
         if ignored:
             warnings.warn(f"ignored arguments: {sorted(ignored)}", stacklevel=2)
         if leafsize < 1:
             raise ValueError("leafsize must be positive")
         metric = metric_for(boxsize)
+        check_domain(points, metric)
         points = points.filter("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL")
         if not metric.periodic:
             points = points.filter("NOT isnan(x) AND NOT isnan(y) AND NOT isnan(z)")
         stats = points.agg(F.count("*").alias("n"), *(f(a).alias(f"{p}{a}") for a in AXES for f, p in ((F.min, "lo"), (F.max, "hi")))).first()
         n = stats["n"]
-        if metric.periodic and n and domain_violations(points, metric.box).first()["violations"]:
-            raise ValueError("positions must lie in [0, boxsize]")
-        want = min(max_cells, max(1, math.ceil(n / leafsize)))
+        want = max(1, math.ceil(n / leafsize))
         if method == "median":
-            celled = assign_median_cells(points, max(0, math.floor(math.log2(want))))
+            size = max(0, math.floor(math.log2(want)))
+            celled = assign_median_cells(points, size)
         elif method == "grid":
-            bins = max(1, math.floor(want ** (1 / 3) + 1e-9))
+            size = bins = min(1 << 20, max(1, math.floor(want ** (1 / 3) + 1e-9)))
             lo = tuple(stats[f"lo{a}"] or 0.0 for a in AXES)
             side = max([*(stats[f"hi{a}"] - stats[f"lo{a}"] for a in AXES if stats[f"lo{a}"] is not None), 0.0])
             celled = assign_grid_cells(points, lo, side / bins if side > 0 else 1.0, bins)
         else:
             raise ValueError(f"unknown method {method!r}")
-        return cls(points, metric, celled, n, leafsize, method)
+        return cls(points, metric, celled, n, leafsize, method, size, top_cells)
+
+    def _cells_of(self, up: int) -> int:
+        """Cells of a level at most, so many levels above the finest."""
+        return max(1, -(-self._size // 4**up)) ** 3 if self.method == "grid" else 2 ** max(0, self._size - HALVINGS * up)
+
+    def above(self, cell: Column, up: int) -> Column:
+        """The cell that holds this one of the finest, so many levels above."""
+        if not up:
+            return cell
+        if self.method == "median":  # not above the root
+            return F.greatest(F.shiftright(cell, min(HALVINGS * up, self._size)), F.lit(1))
+        b, f = self._size, 4**up
+        wide = -(-b // f)
+        parts = [F.floor(F.floor(cell / (b * b)) / f), F.floor(F.floor(cell / b) % b / f), F.floor(cell % b / f)]
+        return ((parts[0] * wide + parts[1]) * wide + parts[2]).cast("long")
+
+    def level(self, up: int) -> DataFrame:
+        """cell_id, n, bounding box and next_id (the cell of the level above) of the cells of a level."""
+        least = self.cells.select(self.above(F.col("cell_id"), up + 1).alias("next_id"), self.above(F.col("cell_id"), up).alias("cell_id"), "n", *(f"{p}_{a}" for p in ("lo", "hi") for a in AXES))
+        if not up:
+            return least
+        return least.groupBy("cell_id", "next_id").agg(F.sum("n").alias("n"), *(f(f"{p}_{a}").alias(f"{p}_{a}") for a in AXES for f, p in ((F.min, "lo"), (F.max, "hi"))))
 
     @property
     def periodic(self) -> bool:

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.metrics import AXES, L2, metric_for
-from lattica.operators.index import SpatialIndex
+from lattica.operators.index import SpatialIndex, check_domain
 from lattica.sources.scratch import written
 
 #: Point tables up to so many rows may be compared with every query.
 BRUTE_LIMIT = 20_000
-#: Cells on each side that the grid's second round may look at.
-RINGS = 6
+#: Cells on each side that the grid's second round may look at; points of a cell beyond which a uniform grid is given up.
+RINGS, CROWDED = 6, 4_096
 
 
 def _check_k(k: int) -> None:
@@ -35,30 +37,35 @@ def _top_k(pairs: DataFrame, k: int) -> DataFrame:
 
 
 def knn_brute(queries: DataFrame, points: DataFrame, k: int = 1, boxsize: float | None = None, exclude_self: bool = False) -> DataFrame:
-    """Every query against every point; for small point tables, which alone are broadcast."""
+    """Every query against every point, which are broadcast: for tables of at most BRUTE_LIMIT points, others are refused."""
     _check_k(k)
     metric = metric_for(boxsize)
-    side = points.select("id", *AXES)
-    few = points.limit(BRUTE_LIMIT + 1).count() <= BRUTE_LIMIT
-    pairs = _queries(queries, metric).crossJoin(F.broadcast(side) if few else side)
+    check_domain(points, metric)
+    if points.limit(BRUTE_LIMIT + 1).count() > BRUTE_LIMIT:
+        raise ValueError(f"more than {BRUTE_LIMIT} points: use the grid or an index")
+    pairs = _queries(queries, metric).crossJoin(F.broadcast(points.select("id", *AXES)))
     if exclude_self:
         pairs = pairs.filter("qid <> id")
     return _top_k(pairs.select("qid", "id", _d2(metric).alias("d2")), k)
 
 
 def candidate_cells(queries: DataFrame, index: SpatialIndex, k: int) -> DataFrame:
-    """(qid, cell_id, visited): cells ordered by the farthest distance they can hold give a bound on the k-th distance;
-    a cell is visited if its nearest distance is within it."""
+    """(qid, cell_id, visited) of the finest cells that are looked at: cells ordered by the farthest distance they can hold
+    give a bound on the k-th distance; a cell is visited if its nearest distance is within it. The first level is broadcast; on
+    each further one, the cells inside those visited are met by an equi-join."""
     m = index.metric
-    q, lo, hi = [F.col(f"q{a}") for a in AXES], [F.col(f"lo_{a}") for a in AXES], [F.col(f"hi_{a}") for a in AXES]
-    both = _queries(queries, m).crossJoin(F.broadcast(index.cells)).select(
-        "qid", *(f"q{a}" for a in AXES), "cell_id", "n", m.box_min2(q, lo, hi).alias("lo2"), m.box_max2(q, lo, hi).alias("hi2")
-    )
+    position = [f"q{a}" for a in AXES]
+    q, lo, hi = [F.col(a) for a in position], [F.col(f"lo_{a}") for a in AXES], [F.col(f"hi_{a}") for a in AXES]
     seen = Window.partitionBy("qid").orderBy("hi2", "cell_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     bound = F.min(F.when(F.col("seen") >= k, F.col("hi2"))).over(Window.partitionBy("qid"))
-    return both.withColumn("seen", F.sum("n").over(seen)).withColumn("bound", F.coalesce(bound, F.lit(float("inf")))).withColumn(
-        "visited", F.col("lo2") <= F.col("bound") * (1 + 1e-12)
-    )
+    asked = _queries(queries, m).crossJoin(F.broadcast(index.level(index.depth)))
+    for up in range(index.depth, -1, -1):
+        near = asked.select("qid", *position, "cell_id", "n", m.box_min2(q, lo, hi).alias("lo2"), m.box_max2(q, lo, hi).alias("hi2"))
+        out = near.withColumn("seen", F.sum("n").over(seen)).withColumn("bound", F.coalesce(bound, F.lit(float("inf")))).withColumn("visited", F.col("lo2") <= F.col("bound") * (1 + 1e-12))
+        if up:
+            inside = out.filter("visited").select("qid", *position, F.col("cell_id").alias("next_id"))
+            asked = inside.join(index.level(up - 1), "next_id")
+    return out
 
 
 def knn_pruned(queries: DataFrame, index: SpatialIndex, k: int = 1, exclude_self: bool = False) -> DataFrame:
@@ -86,10 +93,12 @@ def knn_grid(queries: DataFrame, points: DataFrame, k: int = 1, boxsize: float |
 
     A block of m cells on each side holds every point within m cell widths. The first round looks one cell around; a query
     whose k-th distance is larger than that asks again for the block that its distance calls for. Queries far from the
-    points, with more to look at than RINGS, are left to the index. Query ids must be unique.
+    points, with more to look at than RINGS, are left to the index, and so are all if some cell holds more than CROWDED points, as
+    where points are clustered: the index splits space at medians. Query ids must be unique.
     """
     _check_k(k)
     metric = metric_for(boxsize)
+    check_domain(points, metric)
     k_in = k + exclude_self
     stats = points.agg(F.count("*").alias("n"), *(f(a).alias(f"{p}{a}") for a in AXES for f, p in ((F.min, "lo"), (F.max, "hi")))).first()
     low = [0.0 if metric.periodic else stats[f"lo{a}"] or 0.0 for a in AXES]
@@ -102,6 +111,8 @@ def knn_grid(queries: DataFrame, points: DataFrame, k: int = 1, boxsize: float |
 
     at = [F.least(F.greatest(F.floor((F.col(a) - o) / width), F.lit(0)), F.lit(bins - 1)) for a, o in zip(AXES, low, strict=True)]
     celled = points.select("id", *AXES, key(at).alias("cell_id"))
+    if (celled.groupBy("cell_id").count().agg(F.max("count")).first()[0] or 0) > max(CROWDED, 4 * k_in):
+        return knn_pruned(queries, SpatialIndex.build(points, boxsize=boxsize, method="median"), k, exclude_self)
     asked = _queries(queries, metric)
 
     def block(pending: DataFrame) -> DataFrame:
@@ -134,14 +145,29 @@ def knn_grid(queries: DataFrame, points: DataFrame, k: int = 1, boxsize: float |
     return done
 
 
-def knn_join(queries: DataFrame, points: DataFrame | SpatialIndex, k: int = 1, boxsize: float | None = None, exclude_self: bool = False, strategy: str = "auto", leafsize: int = 128) -> DataFrame:
+def knn_join(
+    queries: DataFrame, points: DataFrame | SpatialIndex, k: int = 1, boxsize: float | None = None, exclude_self: bool = False, strategy: str = "auto", leafsize: int = 128,
+    keep: Sequence[str] = (), max_queries: int | None = None,
+) -> DataFrame:
     """Picks the plan by the number of points: nested loop up to BRUTE_LIMIT, the grid beyond. strategy: auto, brute, index or
-    grid; a SpatialIndex is used as it is."""
+    grid; a SpatialIndex is used as it is.
+
+    keep: further columns of the queries that the result has too, such as those that group them into batches. max_queries: only
+    so many queries, those with the smallest ids, are asked. Points outside a periodic box raise ValueError; queries are wrapped.
+    """
     _check_k(k)
-    if isinstance(points, SpatialIndex):
-        return knn_pruned(queries, points, k, exclude_self)
     if strategy not in ("auto", "brute", "index", "grid"):
         raise ValueError(f"unknown strategy {strategy!r}")
+    if max_queries is not None:
+        queries = queries.orderBy("id").limit(max_queries)
+    if keep:
+        clash = {"qid", "rank", "id", "dist"} & set(keep)
+        if clash:
+            raise ValueError(f"the result has columns of these names: {sorted(clash)}")
+        found = knn_join(queries, points, k, boxsize, exclude_self, strategy, leafsize)
+        return found.join(queries.select(F.col("id").alias("qid"), *(F.col(f"`{c}`") for c in keep)), "qid").select("qid", "rank", "id", "dist", *(F.col(f"`{c}`") for c in keep))
+    if isinstance(points, SpatialIndex):
+        return knn_pruned(queries, points, k, exclude_self)
     if strategy == "auto":
         strategy = "brute" if points.limit(BRUTE_LIMIT + 1).count() <= BRUTE_LIMIT else "grid"
     if strategy == "brute":
@@ -155,6 +181,7 @@ def knn_lookup(points: DataFrame, position: tuple[float, float, float], k: int =
     """Neighbours of one position: a top-k scan without a join."""
     _check_k(k)
     metric = metric_for(boxsize)
+    check_domain(points, metric)
     d2 = metric.dist2([metric.wrap(F.lit(float(v))) for v in position], [F.col(a) for a in AXES])
     best = points.select("id", d2.alias("d2")).filter("d2 IS NOT NULL AND NOT isnan(d2)").orderBy("d2", "id").limit(k)
     return best.select(F.row_number().over(Window.orderBy("d2", "id")).alias("rank"), "id", F.sqrt("d2").alias("dist"))

@@ -73,6 +73,41 @@ def _volume(sub: int = 4, sides=(-1.0, -1.0, -1.0), gz: int = 16, ppu: float = 8
     )
 
 
+def _index_cells(leaf: int) -> str:
+    """The grid that an index of so many points a cell builds: s(bins, lo..., step), g(id, x, y, z, cell_id)."""
+    b = [f"least(greatest(CAST(floor(({a}-lo{a})/step) AS BIGINT),0),bins-1)" for a in "xyz"]
+    return (
+        f"s AS (SELECT bins, lox, loy, loz, side/bins AS step FROM (SELECT CAST(floor(pow(ceil(count(*)/{leaf}.0::DOUBLE), {D(1 / 3)})+1e-9::DOUBLE) AS BIGINT) AS bins, "
+        f"min(x) AS lox, min(y) AS loy, min(z) AS loz, greatest(max(x)-min(x),max(y)-min(y),max(z)-min(z)) AS side FROM p)), "
+        f"g AS (SELECT p.*, ({b[0]}*bins+{b[1]})*bins+{b[2]} AS cell_id FROM p, s)"
+    )
+
+
+BOXES = "cell_id, count(*) AS n, min(x) AS lo_x, max(x) AS hi_x, min(y) AS lo_y, max(y) AS hi_y, min(z) AS lo_z, max(z) AS hi_z"
+
+
+def _query_stats(k: int) -> str:
+    near = [f"(greatest(lo_{a}-{a},0.0::DOUBLE)+greatest({a}-hi_{a},0.0::DOUBLE))" for a in "xyz"]
+    far = [f"greatest(abs({a}-lo_{a}),abs({a}-hi_{a}))" for a in "xyz"]
+    square = lambda v: f"({v[0]}*{v[0]}+{v[1]}*{v[1]})+{v[2]}*{v[2]}"
+    return (
+        f"WITH {P}, {_index_cells(16)}, c AS (SELECT {BOXES} FROM g GROUP BY cell_id), "
+        f"b AS (SELECT p.id AS qid, cell_id, n, {square(near)} AS lo2, {square(far)} AS hi2 FROM p, c), "
+        "w AS (SELECT *, sum(n) OVER (PARTITION BY qid ORDER BY hi2, cell_id ROWS UNBOUNDED PRECEDING) AS seen FROM b), "
+        f"v AS (SELECT *, lo2 <= coalesce(min(CASE WHEN seen>={k} THEN hi2 END) OVER (PARTITION BY qid), 'inf'::DOUBLE)*{D(1 + 1e-12)} AS visited FROM w) "
+        "SELECT qid, count(*) FILTER (WHERE visited) AS cells_visited, count(*) FILTER (WHERE NOT visited) AS cells_pruned, CAST(sum(n) FILTER (WHERE visited) AS BIGINT) AS points_visited FROM v GROUP BY qid"
+    )
+
+
+def _median_cells(leaf: int, levels: int = 12) -> str:
+    """Splits at medians, axes in turn, as deep as the number of points calls for."""
+    out = f"WITH {P}, depth AS (SELECT CAST(floor(log2(ceil(count(*)/{leaf}.0::DOUBLE))) AS INTEGER) AS deep FROM p), m0 AS (SELECT *, CAST(1 AS BIGINT) AS cell_id FROM p)"
+    for i in range(levels):
+        axis = "xyz"[i % 3]
+        out += f", m{i + 1} AS (SELECT id, x, y, z, CASE WHEN {i} < deep THEN cell_id*2+CAST({axis} > quantile_disc({axis}, 0.5) OVER (PARTITION BY cell_id) AS BIGINT) ELSE cell_id END AS cell_id FROM m{i}, depth)"
+    return f"{out} SELECT {BOXES} FROM m{levels} GROUP BY cell_id"
+
+
 LINE = ("v AS (SELECT CAST(l_quantity AS DOUBLE)/50.0 AS x, CAST(l_discount AS DOUBLE)*10.0 AS y, CAST(l_tax AS DOUBLE)*12.5 AS z, CAST(l_extendedprice AS DOUBLE) AS weight, 0.001::DOUBLE AS radius FROM lineitem)")
 OUT = "SELECT ix, iy, iz, round(value, 9) AS value FROM f"
 PRICE = "SELECT CAST(l_extendedprice AS DOUBLE) AS value FROM lineitem"
@@ -97,7 +132,18 @@ def table() -> dict[str, str]:
         "domain_violations": f"WITH {P} SELECT count(*) FILTER (WHERE NOT (x BETWEEN 0 AND 1.25 AND y BETWEEN 0 AND 1.25 AND z BETWEEN 0 AND 1.25)) AS violations, count(*) AS n FROM p",
         "cell_assign": f"WITH {P} SELECT id, cell_id FROM ({_cells()})",
         "cell_mbr": f"WITH {P} SELECT cell_id, count(*) AS n, min(x) AS lo_x, max(x) AS hi_x, min(y) AS lo_y, max(y) AS hi_y, min(z) AS lo_z, max(z) AS hi_z FROM ({_cells()}) GROUP BY cell_id",
-        "cell_coverage": f"WITH {P} SELECT id, count(*) AS count FROM p GROUP BY id HAVING count(*) <> 1",
+        "cell_coverage": f"WITH {P} SELECT id, CAST(1 AS BIGINT) AS n_cells FROM p",
+        "knn_query_stats": _query_stats(4), "median_cells": _median_cells(16), "knn_levels": knn4,
+        "knn_batches": f"SELECT r.*, CAST(label AS INTEGER) AS label FROM ({_knn(2)}) r JOIN embeddings e ON e.vec_id = r.qid WHERE qid IN (SELECT vec_id FROM embeddings ORDER BY vec_id LIMIT 100)",
+        "index_properties": f"WITH {P}, {_index_cells(16)}, n AS (SELECT (SELECT count(*) FROM p) AS n, (SELECT count(DISTINCT cell_id) FROM g) AS size) SELECT n, size, false AS periodic, 0.0::DOUBLE AS boxsize FROM n UNION ALL SELECT n, size, true, 2.0::DOUBLE FROM n",
+        "random_points": "SELECT CAST(10000 AS BIGINT) AS n, CAST(10000 AS BIGINT) AS n_ids, CAST(10000 AS BIGINT) AS n_inside, CAST(10000 AS BIGINT) AS n_places, true AS even",
+        "binary_roundtrip": f"WITH {V} SELECT " + ", ".join(f"CAST(CAST({c} AS FLOAT) AS DOUBLE) AS {c}" for c in ("x", "y", "z", "weight", "radius")) + " FROM v",
+        "points_roundtrip": f"WITH {P} SELECT " + ", ".join(f"CAST(CAST({c} AS FLOAT) AS DOUBLE) AS {c}" for c in "xyz") + " FROM p",
+        "separate_particles": f"WITH {V} SELECT x, y, z, weight, radius FROM v",
+        "sphere": _volume(ppu=16.0, vertices="v AS (SELECT 0.5::DOUBLE AS x, 0.5::DOUBLE AS y, 0.5::DOUBLE AS z, 1.0::DOUBLE AS weight, 0.25::DOUBLE AS radius)") + "SELECT round(sum(value), 9) AS total, count(*) FILTER (WHERE value>0) AS occupied, round(max(value) FILTER (WHERE ix=8 AND iy=8 AND iz=8), 9) AS middle FROM f",
+        "raw_field": _volume() + "SELECT CAST(4096 AS BIGINT) AS n, count(*) FILTER (WHERE CAST(value AS FLOAT)>0) AS occupied, round(sum(CAST(CAST(value AS FLOAT) AS DOUBLE)), 2) AS total FROM f",
+        "renderer_size": _volume() + "SELECT 16 AS width, 8 AS height, round(sum(value), 6) AS total FROM f WHERE iy<8",
+        "png_slice": _volume() + ", s8 AS (SELECT a.ix, b.iy, round(coalesce(value, 0.0::DOUBLE), 9) AS value FROM (SELECT CAST(range AS INTEGER) AS ix FROM range(16)) a, (SELECT CAST(range AS INTEGER) AS iy FROM range(16)) b LEFT JOIN (SELECT * FROM f WHERE iz=8) f ON f.ix=a.ix AND f.iy=b.iy) SELECT ix, iy, CAST(trunc((value-l)/(h-l)*255.0::DOUBLE) AS INTEGER) AS pixel FROM s8, (SELECT min(value) AS l, max(value) AS h FROM s8)",
         "order_statistic": f"SELECT value FROM ({PRICE}) ORDER BY value LIMIT 1 OFFSET 1000",
         "median_axis": "SELECT CAST(o_totalprice AS DOUBLE) AS value, o_orderkey AS id FROM orders QUALIFY row_number() OVER (ORDER BY o_totalprice, o_orderkey) = (SELECT count(*) FROM orders)//2+1",
         "partition_pivot": f"SELECT count(*) FILTER (WHERE value < 30000) AS split, count(*) AS n, min(value) AS low, max(value) AS high FROM ({PRICE})",

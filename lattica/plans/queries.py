@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,13 +11,13 @@ from lattica.operators import field, ghosts, index, knn, raster, selection
 from lattica.plans.tables import BOX, PPU, emb_particles, emb_points, line_particles, tie_points
 from lattica.sources import points as src
 from lattica.sources import sinks
-from lattica.sources.scratch import folder
+from lattica.sources.scratch import path
 
 UNIT_BOX = ((0.9, 1.0), (0.95, 1.05), (0.9, 0.98))
 
 
 def _knn(k, box=None, exclude_self=False):
-    return lambda s, d: knn.knn_brute(emb_points(s, d), emb_points(s, d), k, box, exclude_self)
+    return lambda s, d: knn.knn_join(emb_points(s, d), emb_points(s, d), k, box, exclude_self)
 
 
 def _pruned(k, box=None, method="grid"):
@@ -38,12 +34,12 @@ def knn_single_point(s: SparkSession, d: str) -> DataFrame:
 
 def knn_k_gt_n(s: SparkSession, d: str) -> DataFrame:
     few = s.createDataFrame([(1, 0.9, 0.9, 1.0), (2, 1.0, 1.0, 1.0), (3, 1.2, 1.1, 0.9)], "id long, x double, y double, z double")
-    return knn.knn_brute(emb_points(s, d), few, 5)
+    return knn.knn_join(emb_points(s, d), few, 5)
 
 
 def knn_ties(s: SparkSession, d: str) -> DataFrame:
     probes = s.createDataFrame([(i, float(q), 0.05, 0.04) for i, q in enumerate((1, 10, 25, 49))], "id long, x double, y double, z double")
-    return knn.knn_brute(probes, tie_points(s, d), 40)
+    return knn.knn_join(probes, tie_points(s, d), 40)
 
 
 def knn_wide(s: SparkSession, d: str) -> DataFrame:
@@ -86,10 +82,6 @@ def median_cells(s: SparkSession, d: str) -> DataFrame:
     return index.SpatialIndex.build(emb_points(s, d), 16, method="median").cells
 
 
-def cell_coverage(s: SparkSession, d: str) -> DataFrame:
-    return index.SpatialIndex.build(emb_points(s, d), 16, method="median").coverage_violations()
-
-
 def order_statistic(s: SparkSession, d: str) -> DataFrame:
     t = s.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_extendedprice").cast("double").alias("value"))
     return selection.order_statistic(t, "value", 1000)
@@ -173,26 +165,79 @@ def front_slices(s: SparkSession, d: str) -> DataFrame:
     return _rounded(raster.render_points_volume(emb_particles(s, d), PPU, (16, 16, 8)))
 
 
+def knn_batches(s: SparkSession, d: str) -> DataFrame:
+    """Queries in batches by label, of which the 100 with the smallest ids are asked."""
+    q = s.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").cast("long").alias("id"), F.col("label").cast("int").alias("label")).join(emb_points(s, d), "id")
+    return knn.knn_join(q, emb_points(s, d), 2, keep=["label"], max_queries=100)
+
+
+def knn_levels(s: SparkSession, d: str) -> DataFrame:
+    """With so few cells on the first level that there are several."""
+    return index.SpatialIndex.build(emb_points(s, d), 4, None, "median", top_cells=4).query(emb_points(s, d), 4)
+
+
+def index_properties(s: SparkSession, d: str) -> DataFrame:
+    plain, box = index.SpatialIndex.build(emb_points(s, d), 16), index.SpatialIndex.build(emb_points(s, d), 16, BOX)
+    return s.createDataFrame([(i.n, i.size, i.periodic, i.boxsize) for i in (plain, box)], "n long, size long, periodic boolean, boxsize double")
+
+
+def cell_coverage(s: SparkSession, d: str) -> DataFrame:
+    """How many cells each point is in."""
+    return index.SpatialIndex.build(emb_points(s, d), 16, method="median").points.groupBy("id").agg(F.count("*").alias("n_cells"))
+
+
+def renderer_size(s: SparkSession, d: str) -> DataFrame:
+    r = raster.Renderer((16, 8))
+    total = r.volume(emb_particles(s, d), PPU, 16).agg(F.round(F.sum("value"), 6).alias("total"))
+    return total.select(F.lit(r.width).alias("width"), F.lit(r.height).alias("height"), "total")
+
+
+def sphere(s: SparkSession, d: str) -> DataFrame:
+    """The single sphere on a grid of 16: mass, cells with mass, and the one in the middle."""
+    f = raster.render_points_volume(src.single_sphere(s), 16.0, 16)
+    return f.agg(F.round(F.sum("value"), 9).alias("total"), F.count_if(F.col("value") > 0).alias("occupied"), F.round(F.max(F.when(F.expr("ix = 8 AND iy = 8 AND iz = 8"), F.col("value"))), 9).alias("middle"))
+
+
+def separate_particles(s: SparkSession, d: str) -> DataFrame:
+    """Positions, weights and radii from tables of their own."""
+    e = s.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").cast("long").alias("id"), F.col("label").cast("double").alias("label"))
+    return src.particles_from(emb_points(s, d), e.select("id", (F.col("label") + 1.0).alias("weight")), e.select("id", ((F.col("label") * 0.125 + 0.75) / 8.0).alias("radius")))
+
+
 def random_points(s: SparkSession, d: str) -> DataFrame:
-    return src.random_points(s, 10_000, 42, BOX)
+    """Number, distinct ids, positions inside the box, and whether each axis is spread evenly."""
+    p = src.random_points(s, 10_000, 42, BOX)
+    inside = F.expr(" AND ".join(f"{a} >= 0 AND {a} < {BOX}" for a in AXES))
+    even = F.lit(True)
+    for a in AXES:
+        even = even & (F.abs(F.avg(a) - BOX / 2) < 0.05) & (F.abs(F.stddev(a) - BOX / 12**0.5) < 0.05)
+    return p.agg(F.count("*").alias("n"), F.count_distinct("id").alias("n_ids"), F.count_if(inside).alias("n_inside"), F.count_distinct(*AXES).alias("n_places"), even.alias("even"))
 
 
 def binary_roundtrip(s: SparkSession, d: str) -> DataFrame:
-    """Particles written as raw float32 records by the driver, then read back."""
-    path = f"{folder(s)}/lattica-{uuid.uuid4().hex}"
-    local = path.removeprefix("file://")
-    os.makedirs(local, exist_ok=True)
-    rows = emb_particles(s, d).toPandas().to_numpy(dtype="<f4")
-    with open(f"{local}/particles.bin", "wb") as f:
-        f.write(np.ascontiguousarray(rows).tobytes())
-    return src.read_particles_binary(s, f"{path}/particles.bin" if "://" in path else f"file://{path}/particles.bin")
+    """Particles written as raw float32 records, then read back."""
+    at = f"{path(s)}.bin"
+    sinks.write_records(emb_particles(s, d), (*AXES, "weight", "radius"), at)
+    return src.read_particles_binary(s, at)
+
+
+def points_roundtrip(s: SparkSession, d: str) -> DataFrame:
+    at = f"{path(s)}.bin"
+    sinks.write_records(emb_points(s, d), AXES, at)
+    return src.read_points_binary(s, at)
+
+
+def raw_field(s: SparkSession, d: str) -> DataFrame:
+    """The dense field as raw float32 values, read back: how many, how many with mass, and their sum."""
+    at = f"{path(s)}.bin"
+    sinks.write_raw_float32(_volume()(s, d), (16, 16, 16), at)
+    return src._records(s, at, ("value",)).agg(F.count("*").alias("n"), F.count_if(F.col("value") > 0).alias("occupied"), F.round(F.sum("value"), 2).alias("total"))
 
 
 def png_slice(s: SparkSession, d: str) -> DataFrame:
-    dense = sinks.to_numpy(field.slice_of(_volume()(s, d), 8), (16, 16))
-    low, high = float(dense.min()), float(dense.max())
-    png = sinks.png_bytes(np.floor((dense - low) / max(high - low, 1e-30) * 255).T)
-    return s.createDataFrame([(len(png), png[:8].hex())], "n_bytes int, signature string")
+    """The pixels that the image of a slice holds."""
+    pixels = sinks.png_pixels(sinks.png_of(_rounded(field.slice_of(_volume()(s, d), 8)), (16, 16)))
+    return s.createDataFrame([(x, y, int(pixels[y, x])) for x in range(16) for y in range(16)], "ix int, iy int, pixel int")
 
 
 def table() -> dict:
@@ -210,5 +255,6 @@ def table() -> dict:
         "raster_subpixel": _subpixel(False), "raster_subpixel_periodic": _subpixel(1.0), "raster_slice2d": raster_slice2d, "raster_dense": raster_dense,
         "front_slices": front_slices, "central_voxel": central_voxel, "field_metrics": field_metrics, "mass_ratio": mass_ratio,
         "particle_metrics": lambda s, d: field.particle_metrics(emb_particles(s, d)), "slice_minmax_u8": slice_minmax_u8, "slice_log1p": slice_log1p,
-        "random_points": random_points, "binary_roundtrip": binary_roundtrip, "png_slice": png_slice,
+        "random_points": random_points, "binary_roundtrip": binary_roundtrip, "points_roundtrip": points_roundtrip, "png_slice": png_slice, "raw_field": raw_field,
+        "knn_batches": knn_batches, "knn_levels": knn_levels, "index_properties": index_properties, "renderer_size": renderer_size, "sphere": sphere, "separate_particles": separate_particles,
     }

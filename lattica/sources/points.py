@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import islice
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,6 +58,16 @@ def particles(df: DataFrame, columns: Sequence[str] = ("x", "y", "z", "weight",
     return df.select(*(F.col(c).cast("double").alias(a) for c, a in zip(columns, ("x", "y", "z", "weight", "radius"), strict=True))).dropna()
 
 
+def particles_from(positions: DataFrame, weights: DataFrame, radii: DataFrame, id_col: str = "id") -> DataFrame:
+    """Particles whose positions(id, x, y, z), weights(id, weight) and radii(id, radius) are tables of their own, met by id. Each
+    must have the same ids, each once."""
+    tables = [check_columns(positions, [id_col, *AXES]).select(id_col, *AXES), check_columns(weights, [id_col, "weight"]).select(id_col, "weight"), check_columns(radii, [id_col, "radius"]).select(id_col, "radius")]
+    joined = tables[0].join(tables[1], id_col).join(tables[2], id_col)
+    if len({joined.count(), *(t.count() for t in tables)}) > 1:
+        raise ValueError("positions, weights and radii must have the same ids, each once")
+    return particles(joined)
+
+
 def random_points(spark: SparkSession, n: int, seed: int = 42, box: float = 1.0) -> DataFrame:
     """n points, uniform over a cube; the same for the same seed and number of partitions."""
     return spark.range(n).select("id", *(F.expr(f"rand({seed + i}) * {float(box)}D").alias(a) for i, a in enumerate(AXES)))
@@ -69,13 +81,18 @@ def _records(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:
     """Headerless float32 records. Files are split by record, so one large file is read by many tasks."""
     width = 4 * len(names)
 
-    def decode(rows):
-        rows = list(rows)
-        for r in np.frombuffer(b"".join(rows), dtype="<f4").reshape(-1, width // 4).astype(float).tolist():
-            yield tuple(r)
+    def packed(rows):
+        while part := list(islice(rows, 1 << 16)):
+            yield (b"".join(part),)
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                values = np.frombuffer(raw, dtype="<f4").reshape(-1, len(names)).astype(np.float64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(values[:, i])) for i in range(len(names))], names=list(names))
 
-    rdd = spark.sparkContext.binaryRecords(path, width).mapPartitions(decode)
-    return spark.createDataFrame(rdd, T.StructType([T.StructField(n, T.DoubleType()) for n in names]))
+    chunks = spark.createDataFrame(spark.sparkContext.binaryRecords(path, width).mapPartitions(packed), "raw binary")
+    return chunks.mapInArrow(decode, T.StructType([T.StructField(n, T.DoubleType()) for n in names]))
 
 
 def read_points_binary(spark: SparkSession, path: str) -> DataFrame:

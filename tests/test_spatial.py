@@ -44,6 +44,9 @@ def test_k_larger_than_n_and_wide(spark):
     assert wide[0].ids[0] == 0 and wide[0].ids[-1] == 4294967295 and len(wide[0].dists) == 5
     dist, ids = sinks.knn_to_numpy(got, 5)
     assert dist.shape == (3, 5) and ids[0, 4] == 4294967295
+    more = src.points_from_numpy(spark, cloud(4))
+    dist, ids = sinks.knn_to_numpy(got, 5, queries=more)  # the last has no neighbour
+    assert ids.shape == (4, 5) and (ids[3] == 4294967295).all() and ids[2, 0] == 2
 
 
 def test_grid_with_far_and_clustered_queries(spark):
@@ -61,6 +64,87 @@ def test_grid_with_far_and_clustered_queries(spark):
     assert near.count() == 0
 
 
+def test_points_outside_the_box(spark):
+    p = np.vstack([cloud(20), [[3.1, 0.5, 0.5]]])
+    pts, qs = src.points_from_numpy(spark, p), src.points_from_numpy(spark, cloud(3))
+    for call in (
+        lambda: knn_join(qs, pts, 1, 1.0), lambda: knn_join(qs, pts, 1, 1.0, strategy="grid"), lambda: knn_join(qs, pts, 1, 1.0, strategy="index"),
+        lambda: knn.knn_lookup(pts, (0.1, 0.1, 0.1), 1, 1.0), lambda: SpatialIndex.build(pts, boxsize=1.0), lambda: knn.knn_brute(qs, pts, 1, 1.0), lambda: knn.knn_grid(qs, pts, 1, 1.0),
+    ):
+        with pytest.raises(ValueError):
+            call()
+    assert knn_join(qs, pts, 1).count() == 3
+
+
+def test_columns_of_queries_and_their_number(spark):
+    p = cloud(50)
+    pts = src.points_from_numpy(spark, p)
+    qs = pts.withColumn("batch", F.col("id") % 3).withColumn("name", F.lit("q"))
+    got = knn_join(qs, pts, 2, keep=("batch", "name"), max_queries=10)
+    assert got.columns == ["qid", "rank", "id", "dist", "batch", "name"] and got.count() == 20
+    assert all(r.batch == r.qid % 3 and r.qid < 10 for r in got.collect())
+    with pytest.raises(ValueError):
+        knn_join(qs.withColumnRenamed("name", "rank"), pts, keep=["rank"])
+
+
+def test_brute_force_is_for_few_points(spark):
+    many = src.random_points(spark, knn.BRUTE_LIMIT + 1)
+    with pytest.raises(ValueError):
+        knn_join(many.limit(3), many, 1, strategy="brute")
+
+
+@pytest.mark.parametrize("method, box", [("median", None), ("grid", 2.0), ("grid", None), ("median", 2.0)])
+def test_levels_of_an_index(spark, method, box):
+    """So few cells on the first level that there are several below it."""
+    p, q = cloud(1500, 2.0), cloud(25, 2.0, 9)
+    idx = SpatialIndex.build(src.points_from_numpy(spark, p), 8, box, method, top_cells=3)
+    assert idx.depth >= 1 and idx.level(idx.depth).count() <= 3
+    for up in range(idx.depth + 1):
+        assert idx.level(up).agg(F.sum("n")).first()[0] == 1500
+        assert idx.level(up).groupBy("cell_id").count().filter("count > 1").count() == 0
+    rows = idx.query(src.points_from_numpy(spark, q), 4).orderBy("qid", "rank").toPandas()
+    ids, dist = naive(p, q, 4, box)
+    assert rows["id"].tolist() == ids.ravel().tolist() and np.allclose(rows["dist"], dist.ravel())
+
+
+def test_crowded_cells_go_to_the_index(spark):
+    """Points so clustered that a uniform grid would have them in few cells."""
+    r = np.random.default_rng(8)
+    p = np.vstack([0.5 + r.standard_normal((9000, 3)) * 1e-4, r.random((1000, 3))])
+    q = np.vstack([0.5 + r.standard_normal((8, 3)) * 1e-4, r.random((4, 3))])
+    pts = src.points_from_numpy(spark, p)
+    got = knn.knn_grid(src.points_from_numpy(spark, q), pts, 3).orderBy("qid", "rank").toPandas()
+    ids, dist = naive(p, q, 3)
+    assert got["id"].tolist() == ids.ravel().tolist() and np.allclose(got["dist"], dist.ravel())
+    sizes = SpatialIndex.build(pts, method="median").cells.agg(F.max("n")).first()[0]
+    assert sizes < 300
+
+
+def test_cancelled_actions(spark):
+    import time
+
+    from lattica.operators.jobs import Cancelled, run_cancellable
+
+    assert run_cancellable(spark, lambda: spark.range(10).count()) == 10
+    with pytest.raises(ZeroDivisionError):
+        run_cancellable(spark, lambda: 1 / 0)
+    slow = src.random_points(spark, 400_000)
+    began = time.time()
+    with pytest.raises(Cancelled):
+        run_cancellable(spark, lambda: slow.crossJoin(slow.limit(50_000).withColumnRenamed("x", "w")).agg(F.sum(F.sin("w") * F.cos(slow["x"]))).collect(), lambda: time.time() > began + 1.5)
+    assert time.time() - began < 60
+
+
+def test_particles_of_separate_tables(spark):
+    ids = spark.range(5)
+    pos = ids.select("id", *(F.col("id").cast("double").alias(a) for a in "xyz"))
+    w, r = ids.select("id", F.lit(2.0).alias("weight")), ids.select("id", (F.col("id") * 0.5).alias("radius"))
+    assert sorted(map(tuple, src.particles_from(pos, w, r).collect())) == [(float(i),) * 3 + (2.0, i * 0.5) for i in range(5)]
+    for bad in (r.filter("id > 0"), r.union(r)):
+        with pytest.raises(ValueError):
+            src.particles_from(pos, w, bad)
+
+
 def test_bad_arguments(spark):
     pts = src.points_from_numpy(spark, cloud(5))
     with pytest.raises(ValueError):
@@ -107,10 +191,23 @@ def test_order_statistic(spark, k):
     df = spark.createDataFrame([(float(x), i) for i, x in enumerate(v)], "v double, id long")
     want = sorted((float(x), i) for i, x in enumerate(v))[k]
     assert tuple(selection.order_statistic(df, "v", k, ("id",)).first()) == want
+    for limit in (0, 1, 10):
+        assert tuple(selection.order_statistic(df, "v", k, ("id",), limit=limit).first()) == want
     assert selection.partition_counts(df, "v", 20.0).first()["split"] == sum(x < 20 for x in v)
     assert sorted(r.v for r in selection.top_k_smallest(df, "v", 7).collect()) == sorted(map(float, v))[:7]
 
 
+def test_order_statistic_of_ties(spark):
+    v = [5.0] * 400 + [1.0] * 30 + [7.0] * 30 + [5.5, float("nan"), None]
+    df = spark.createDataFrame([(x, i % 7, str(i)) for i, x in enumerate(v)], "v double, a long, b string")
+    rows = sorted((x, i % 7, str(i)) for i, x in enumerate(v) if x is not None and x == x)
+    for k in (0, 29, 30, 200, 429, 430, 431, 460):
+        assert tuple(selection.order_statistic(df, "v", k, ("a", "b"), limit=5).first()) == rows[k]
+        assert selection.order_statistic(df, "v", k, limit=5).first().v == rows[k][0]
+    with pytest.raises(ValueError):
+        selection.order_statistic(df, "v", 461)
+
+
 def model(parts, ppu, g, s):
     out = np.zeros((g, g, g))
     off = (np.arange(s) + 0.5) / s
@@ -164,7 +261,8 @@ def test_sinks(spark, tmp_path):
     f = render_points_volume(src.single_sphere(spark), 16.0, 16)
     s = field.slice_of(f, 8)
     sinks.write_png(s, (16, 16), str(tmp_path / "a.png"))
-    assert (tmp_path / "a.png").read_bytes()[:4] == b"\x89PNG"
+    pixels = sinks.png_pixels((tmp_path / "a.png").read_bytes())
+    assert pixels.shape == (16, 16) and pixels.max() == 255 and pixels.min() == 0
     sinks.write_raw_float32(f, (16, 16, 16), str(tmp_path / "a.bin"))
     back = np.fromfile(tmp_path / "a.bin", "<f4").reshape((16, 16, 16), order="F")
     assert np.array_equal(back, sinks.to_numpy(f, (16, 16, 16)))
@@ -172,6 +270,25 @@ def test_sinks(spark, tmp_path):
     (tmp_path / "p.bin").write_bytes(pts.tobytes())
     got = src.read_points_binary(spark, str(tmp_path / "p.bin")).toPandas().to_numpy()
     assert np.array_equal(np.sort(got, 0), np.sort(pts.astype(float), 0))
+    sinks.write_records(src.read_points_binary(spark, str(tmp_path / "p.bin")), ("x", "y", "z"), f"file://{tmp_path}/q.bin")
+    assert np.array_equal(np.fromfile(tmp_path / "q.bin", "<f4").reshape(-1, 3), pts)
+
+
+def test_scratch_tables_go(spark):
+    import os
+
+    from lattica.sources import scratch
+
+    at = lambda df: df._scratch.removeprefix("file://")
+    a = scratch.written(spark.range(3))
+    assert a.count() == 3 and os.path.isdir(at(a))
+    kept: list = []
+    with scratch.cleaned(kept):
+        b, c = scratch.written(a), scratch.written(a)
+        kept.append(c)
+    assert os.path.isdir(at(a)) and not os.path.isdir(at(b)) and os.path.isdir(at(c))
+    scratch.discard(a, c, spark.range(2))
+    assert not os.path.isdir(at(a)) and not os.path.isdir(at(c))
 
 
 def test_stream(spark, tmp_path):
