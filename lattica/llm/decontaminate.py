@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.shared import bitmap, column_or_null, small, written
+from lattica.llm.shared import bitmap, cleaned, column_or_null, small, written
 from lattica.llm.text import U, Words, mix, pieces, span_hash
 
 #: Template tokens of a window; tokens that must be covered at most; share of the item that is enough; literal tokens that a
@@ -248,8 +248,11 @@ def drop_contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id",
     names = docs.columns
     packed = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)))
     text = F.col(f"c{names.index(text_col)}").cast("string") if text_col in names else F.lit(None).cast("string")
-    rows, good = alignments(packed.select(F.lit(None).cast("long").alias("doc_id"), text.alias("text")), bench, **kw)
-    leaks = written(rows.join(good.select("_uid").distinct(), "_uid", "left_semi").select("h1", "h2").distinct())
+    made: list = []
+    with cleaned(made):
+        rows, good = alignments(packed.select(F.lit(None).cast("long").alias("doc_id"), text.alias("text")), bench, **kw)
+        leaks = written(rows.join(good.select("_uid").distinct(), "_uid", "left_semi").select("h1", "h2").distinct())
+        made.append(leaks)
     side = small(leaks, F.lit(0))
     kept = packed.select("*", *_text_key(text)).join(side, ["h1", "h2"], "left_anti")
     return kept.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))

@@ -6,7 +6,8 @@
 2. Terminals are dealt by (length, content hash) to partitions, where their full byte strings enter a trie again; its
    terminals name the owner of each group and its size. Beyond a byte budget whole subtrees go to a file of the task and are
    built later, one at a time, so memory is bounded.
-3. Rows look up their group by the terminal that they point at: one key for each flush, never one for a whole group.
+3. A text that very many flushes hold is merged in salted groups first, which then send it once each.
+4. Rows look up their group by the terminal that they point at: one key for each flush, never one for a whole group.
 
 Equality is that of the bytes; hashes only deal rows out.
 """
@@ -25,13 +26,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.shared import column_or_null, parallelism, struct, written
+from lattica.llm.shared import column_or_null, parallelism, small, struct, written
 from lattica.llm.text import pieces
 
 #: Bytes of text and rows that an input task holds between flushes.
 FLUSH_BYTES, FLUSH_ROWS = 32 << 20, 1 << 18
 #: Bytes of edges that a trie holds before subtrees are spilled.
 TRIE_BYTES = 128 << 20
+#: Terminals of one length and content hash from which they are merged in groups of so many first.
+HOT = 1_000
 
 
 class Node:
@@ -191,8 +194,12 @@ def _local(keep: str, flush_bytes: int, flush_rows: int):
     return run
 
 
-def _global(keep: str, budget: int):
-    """For each local terminal: the row that stays of its whole group, and the group's size and digest."""
+_PARTIAL = "_uid long, doc_id long, _n long, text string, owners array<long>"
+
+
+def _global(keep: str, budget: int, partial: bool = False):
+    """For each local terminal: the row that stays of its whole group, and the group's size and digest. partial: the texts
+    themselves, each once, with the best row, the number of rows and the local terminals that they had here."""
     rank = _better(keep)
 
     def merge(a, b):
@@ -204,9 +211,14 @@ def _global(keep: str, budget: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = PatriciaTrie(merge, budget)
         for batch in batches:
-            ids, uids, n = (batch.column(c).to_pylist() for c in ("doc_id", "_uid", "_n"))
-            for key, uid, k, text in zip(ids, uids, n, batch.column("text").cast(pa.large_binary()).to_pylist(), strict=True):
-                trie.insert(text or b"", (key, uid, k, [uid]))
+            ids, uids, n, owners = (batch.column(c).to_pylist() for c in ("doc_id", "_uid", "_n", "owners"))
+            for key, uid, k, text, mine in zip(ids, uids, n, batch.column("text").cast(pa.large_binary()).to_pylist(), owners, strict=True):
+                trie.insert(text or b"", (key, uid, k, mine or [uid]))
+        if partial:
+            for text, (key, uid, n, owners) in trie.items():
+                raw = pa.array([text], type=pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([uid]), pa.array([key], type=pa.int64()), pa.array([n]), pa.Array.from_buffers(pa.string(), 1, raw.buffers()), pa.array([owners], type=pa.list_(pa.int64()))], names=["_uid", "doc_id", "_n", "text", "owners"])
+            return
         out: list[list] = [[], [], [], [], []]
 
         def emit():
@@ -225,11 +237,19 @@ def _global(keep: str, budget: int):
     return run
 
 
-def _groups(rows: DataFrame, keep: str, budget: int) -> DataFrame:
-    spark = rows.sparkSession
-    owners = rows.filter("_n IS NOT NULL").select("_uid", "doc_id", "_n", "text")
+def _groups(rows: DataFrame, keep: str, budget: int, hot: int) -> DataFrame:
+    parts = parallelism(rows.sparkSession)
+    owners = rows.filter("_n IS NOT NULL").select("_uid", "doc_id", "_n", "text", F.lit(None).cast("array<long>").alias("owners"))
     text = F.coalesce("text", F.lit(""))
-    dealt = owners.repartition(parallelism(spark), F.octet_length(text), F.xxhash64(text))
+    name = [F.octet_length(text), F.xxhash64(text)]
+    often = written(owners.groupBy(*(n.alias(f"_k{i}") for i, n in enumerate(name))).agg(F.count("*").alias("_times")).filter(F.col("_times") > hot))
+    if often.limit(1).count():
+        side = small(often, F.lit(24))
+        keyed = owners.select("*", *(n.alias(f"_k{i}") for i, n in enumerate(name)))
+        salted = keyed.join(side, ["_k0", "_k1"]).withColumn("_salt", F.pmod(F.xxhash64("_uid"), F.ceil(F.col("_times") / hot)))
+        merged = salted.repartition(parts, "_k0", "_k1", "_salt").select(*owners.columns).mapInArrow(_global(keep, budget, True), _PARTIAL)
+        owners = keyed.join(side, ["_k0", "_k1"], "left_anti").select(*owners.columns).unionByName(merged)
+    dealt = owners.repartition(parts, *name)
     return dealt.mapInArrow(_global(keep, budget), "_owner long, _keep_uid long, keep_id long, group_size long, text_sha256 string")
 
 
@@ -243,7 +263,7 @@ def _terminals(docs: DataFrame, id_col: str, text_col: str, keep: str, rest: lis
     return written(frame.mapInArrow(_local(keep, flush_bytes, flush_rows), schema))
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", flush_bytes: int = FLUSH_BYTES, flush_rows: int = FLUSH_ROWS, trie_bytes: int = TRIE_BYTES) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", flush_bytes: int = FLUSH_BYTES, flush_rows: int = FLUSH_ROWS, trie_bytes: int = TRIE_BYTES, hot: int = HOT) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row.
 
     A null text counts as empty. A null id loses to any other; of rows with the same id and text, the first in its task stays,
@@ -252,16 +272,17 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if keep not in ("max", "min"):
         raise ValueError("keep is 'max' or 'min'")
     rows = _terminals(docs, id_col, text_col, keep, [], flush_bytes, flush_rows)
-    groups = _groups(rows, keep, trie_bytes)
+    groups = _groups(rows, keep, trie_bytes, hot)
     return rows.select("_uid", "_owner", "doc_id").join(groups, "_owner").select("doc_id", "keep_id", "group_size", (F.col("_uid") == F.col("_keep_uid")).alias("kept"), "text_sha256")
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", **limits) -> DataFrame:
-    """The rows that stay, with all their columns as they were."""
-    limits = {"flush_bytes": FLUSH_BYTES, "flush_rows": FLUSH_ROWS, "trie_bytes": TRIE_BYTES} | limits
+    """The rows that stay, with all their columns as they were: of rows with equal texts (null counts as empty) the one with the
+    wanted id, a null id last, and of rows alike in both one."""
+    limits = {"flush_bytes": FLUSH_BYTES, "flush_rows": FLUSH_ROWS, "trie_bytes": TRIE_BYTES, "hot": HOT} | limits
     names = docs.columns
     rest = [c for c in names if c != text_col]
     rows = _terminals(docs, id_col, text_col, keep, rest, limits["flush_bytes"], limits["flush_rows"])
-    kept = _groups(rows, keep, limits["trie_bytes"]).select("_keep_uid").distinct()
+    kept = _groups(rows, keep, limits["trie_bytes"], limits["hot"]).select("_keep_uid").distinct()
     out = rows.filter("_n IS NOT NULL").join(kept, F.col("_uid") == F.col("_keep_uid"), "left_semi")
     return out.select(*((F.col("text") if c == text_col else F.col(f"_row.c{rest.index(c)}")).alias(c) for c in names))

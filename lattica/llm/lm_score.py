@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.shared import column_or_null, parallelism, written
+from lattica.llm.shared import column_or_null, discard, parallelism, written
 from lattica.llm.text import U, Words, mix, pack, pieces, span_hash
 
 #: Hashed cells in which probes are sought; ranges these are added up in; probes; probes looked at on each side of a word.
@@ -330,7 +330,9 @@ def coded_texts(text: DataFrame, per_pack: int = PACK) -> tuple[DataFrame, np.nd
     told = written(rows.filter("kind = 1").groupBy("p").applyInArrow(_classed(probe_table(counts, OWN)), _ROWS))
     mass = _summed(told.filter("kind = 3").select(F.col("p").alias("slot"), F.col("n").alias("data")), p_n)
     both = rows.filter("kind = 0").unionByName(told.filter("kind = 2"))
-    return written(both.groupBy("pack").applyInArrow(_coded, _CODED)), np.zeros(CLASSES) if mass is None else mass
+    coded = written(both.groupBy("pack").applyInArrow(_coded, _CODED))
+    discard(rows, told)
+    return coded, np.zeros(CLASSES) if mass is None else mass
 
 
 def _strings(batch: pa.RecordBatch, limit: int = 1 << 21) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:

@@ -154,7 +154,8 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Trees:
-    """Learns from at most `sample` labelled rows that aren't held out."""
+    """Learns from at most `sample` labelled rows that aren't held out. Rows without an id or a label aren't learned from; of labels
+    of one id the larger counts, and of texts of one id the one with the smallest hash. Without labels, everything scores 1."""
     picked = (
         labels.select(column_or_null(labels, id_col, "long").alias("_id"), column_or_null(labels, label_col, "int").alias("y"))
         .filter(F.col("_id").isNotNull() & F.col("y").isNotNull() & ~_held_out(F.col("_id")))
@@ -163,8 +164,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     )
     text = docs.select(column_or_null(docs, id_col, "long").alias("doc_id"), column_or_null(docs, text_col, "string").alias("text"))
     # `sample` rows of two numbers: the broadcast has that bound
-    rows = text.join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("doc_id", "y", "text").mapInArrow(_measure, "doc_id long, y int, x array<double>")
-    got = rows.dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()
+    rows = text.join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    got = rows.mapInArrow(_measure, "doc_id long, y int, x array<double>").orderBy("doc_id").toPandas()
     return fit(np.array(got["x"].tolist()).reshape(len(got), len(FEATURES)), got["y"].to_numpy(dtype=float))
 
 
@@ -183,7 +184,8 @@ def score(docs: DataFrame, model: Trees, id_col: str = "doc_id", text_col: str =
 
 
 def keep_good(docs: DataFrame, model: Trees, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows that aren't rejected, with all their columns; the text is scored where it is read, without a join."""
+    """The rows that aren't rejected, with all their columns; the text is scored where it is read, without a join. A null text is
+    scored as an empty one, and ids play no part."""
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

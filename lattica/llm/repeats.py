@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.shared import column_or_null, parallelism, small, written
+from lattica.llm.shared import column_or_null, discard, parallelism, small, written
 from lattica.llm.text import U, Words, mix, pack, pieces, span_hash
 
 #: Occurrences from which an anchor's segments are dealt by longer contexts.
@@ -425,11 +425,14 @@ def remove_repeats(docs: DataFrame, engine: Callable, length: int, k: int, id_co
     again = found.filter("kind = 1").groupBy("p").applyInArrow(_again(hot), _ANCHORS)
     asked = found.filter("kind = 0").unionByName(again).groupBy("pack").applyInArrow(_by_text, "k1 long, k2 long, numbers binary")
     asked = written(asked.groupBy(*_KEY).agg(F.first("numbers").alias("numbers")))
+    discard(found)
     # a segment has some 1.5 windows of words, of 2 to 4 bytes, and 20 bytes besides
     p_n = parted((asked.agg(F.sum(F.octet_length("numbers"))).first()[0] or 0) // 4 * (5 * length + 20))
     dealt = written(text.select(*_KEY, "text").join(small(asked, F.octet_length("numbers")), _KEY).mapInArrow(_deal(length, k, p_n, per_pack), _SEGMENTS))
+    discard(asked)
     shards = dealt.filter("kind = 1").groupBy("p").applyInArrow(_shard(length, engine, k), _SEGMENTS)
     spans = dealt.filter("kind = 0").unionByName(shards).groupBy("pack").applyInArrow(_merge_spans, "k1 long, k2 long, spans binary")
     spans = written(spans.groupBy(*_KEY).agg(F.first("spans").alias("spans")))
+    discard(dealt)
     kept = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string, removed array<struct<first:int,end:int>>" if with_text else "")
     return text.join(small(spans, F.octet_length("spans")), _KEY, "left").select("doc_id", "text", "spans").mapInArrow(_kept(with_text), kept)

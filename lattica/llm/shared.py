@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.sources.scratch import folder, written
+from lattica.sources.scratch import cleaned, discard, folder, written
 
-__all__ = ["SMALL_SIDE", "bitmap", "column_or_null", "folder", "id_and_text", "parallelism", "small", "struct", "written"]
+__all__ = ["SMALL_SIDE", "bitmap", "cleaned", "column_or_null", "discard", "folder", "id_and_text", "parallelism", "small", "struct", "written"]
 
 #: Bytes up to which a looked-up side is broadcast.
 SMALL_SIDE = 32 << 20

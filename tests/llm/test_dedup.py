@@ -26,7 +26,7 @@ def test_patricia_trie_spills_by_subtree():
 
 
 @pytest.mark.parametrize("keep", ["max", "min"])
-@pytest.mark.parametrize("limits", [{}, {"flush_rows": 7, "trie_bytes": 4000}])
+@pytest.mark.parametrize("limits", [{}, {"flush_rows": 7, "trie_bytes": 4000}, {"flush_rows": 1, "hot": 1}])
 def test_exact_groups(docs, rows, keep, limits):
     got = exact_dedup.exact_groups(docs, keep=keep, **limits).collect()
     groups = defaultdict(list)
@@ -267,6 +267,14 @@ def test_sharding_bounded_loads_move_little(spark, odd, empty):
     assert sharding.assign_shards(empty, 3).count() == 0
 
 
+def test_one_more_shard_moves_little_without_slack(spark):
+    """The law `rows` leaves no slack: counts are at most one apart for 24 and for 25 shards."""
+    df = spark.range(20_000).selectExpr("id AS doc_id", "'t' AS text")
+    a, b = ({r.doc_id: r.shard for r in sharding.assign_shards(df, n).collect()} for n in (24, 25))
+    assert all(max(c) - min(c) <= 1 for c in (Counter(a.values()).values(), Counter(b.values()).values()))
+    assert sum(a[i] != b[i] for i in a) < 0.15 * len(a)
+
+
 def test_ring_replay_equals_key_by_key():
     counts = {(c, 0): n for c, n in zip(range(0, 64, 3), [5, 0, 9, 1, 30, 2, 2, 8, 1, 1, 4, 4, 0, 7, 3, 3, 3, 9, 1, 2, 2, 2], strict=True) if n}
     total = sum(counts.values())

@@ -83,6 +83,41 @@ def junk(i):
     return " ".join(f"{w}***" if j % 2 else w.upper() + "!!" for j, w in enumerate(prose(60, i).split()))
 
 
+def plain_statistics(text):
+    """Word by word and character by character."""
+    raw, words = (text or "").encode(), [w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+    size, n = max(len(raw), 1), max(len(words), 1)
+    marks = [range(65, 91), range(97, 123), range(48, 58), b"!", b"|", b"#$%&*<>{}[]=@~^\\_+", b".,;:?", b"\n", range(128, 256)]
+    is_letter = lambda b: 48 <= b < 58 or 65 <= b < 91 or 97 <= b < 123 or b >= 128
+    same = [a == b for a, b in zip(words, words[1:])]
+    runs, now = [0], 0
+    for s in same:
+        now = now + 1 if s else 0
+        runs.append(now)
+    caps = [sum(65 <= b < 91 for b in w) > 1 and not any(97 <= b < 123 for b in w) for w in words]
+    return [
+        *(sum(b in m for b in raw) / size for m in marks), np.log1p(len(words)), sum(map(len, words)) / n, sum(len(w) > 20 for w in words) / n, sum(not any(map(is_letter, w)) for w in words) / n,
+        sum(w.endswith(b"!") for w in words) / n, sum(w[-1] in marks[5] for w in words) / n, sum(w[-1] in marks[6] for w in words) / n, sum(caps) / n, sum(same) / n, np.log1p(max(runs)),
+        len(set(words)) / n / max(np.log1p(len(words)), 1), max(Counter(words).values(), default=0) / n, np.log1p(len(words) / (raw.count(b"\n") + 1)),
+    ]
+
+
+def test_statistics_equal_brute_force():
+    texts = [prose(50, 1), junk(3), "", None, "a a a B B! ÉÉ É", "x\ny\n\n z | {} == ** 12", "A" * 30 + " bb" * 40, "  \t "]
+    got = quality.statistics(pa.array(texts))
+    assert got.shape == (len(texts), len(quality.FEATURES))
+    for t, row in zip(texts, got, strict=True):
+        assert np.allclose(row, plain_statistics(t)), t
+
+
+def test_learning_takes_one_text_of_an_id(spark):
+    """Whatever the order of rows."""
+    rows = [(i, junk(i) if i % 3 else prose(40, i)) for i in range(60)] + [(i, prose(30, 500 + i)) for i in range(60)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, quality int")
+    models = [quality.train(spark.createDataFrame(r, "doc_id long, text string").repartition(n), labels) for r, n in ((rows, 2), (rows[::-1], 5))]
+    assert all(np.array_equal(getattr(models[0], c), getattr(models[1], c)) for c in ("feature", "threshold", "leaf"))
+
+
 def test_trees_learn(spark, empty, odd):
     rows = [(i, junk(i) if i % 4 == 0 else prose(40 + i % 50, i), int(i % 4 != 0)) for i in range(600)]
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
