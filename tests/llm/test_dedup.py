@@ -267,6 +267,31 @@ def test_sharding_bounded_loads_move_little(spark, odd, empty):
     assert sharding.assign_shards(empty, 3).count() == 0
 
 
+def test_sharding_of_odd_rows(odd):
+    """By value: sizes and checksums of null and empty texts, null ids spread, slots gapless."""
+    import zlib
+
+    got = sharding.assign_shards(odd, 4).collect()
+    text = lambda r: (r.text or "").encode()
+    assert sorted((str(r.doc_id), r.size, r.text_crc32) for r in got) == sorted((str(r.doc_id), len(text(r)) + 8, zlib.crc32(text(r))) for r in odd.collect())
+    by = defaultdict(list)
+    for r in got:
+        by[r.shard].append(r.slot)
+    assert sorted(map(len, by.values())) == [2, 2, 2, 3] and all(sorted(v) == list(range(len(v))) for v in by.values())
+
+
+def test_long_texts(spark):
+    """One text of some megabytes beside short ones, with a passage that they share."""
+    passage = prose(60, 5)
+    long = " ".join(f"v{i % 99991}" for i in range(400_000)) + " " + passage
+    rows = [(0, long, "", "", 0), (1, f"a b {passage} c", "", "", 0), (2, long + " end", "", "", 0), (3, long, "", "", 0)]
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    assert sorted(map(tuple, suffix_dedup.suffix_dedup(df).collect())) == brute_repeats(rows, 40)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_groups(df).collect()}
+    assert {i: c for i, (_, c) in got.items()} == {0: 0, 1: 1, 2: 0, 3: 0} and got[0][0] == len(shingles(long))
+    assert {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_groups(df).collect()} == {0: (3, 2), 1: (1, 1), 2: (2, 1), 3: (3, 2)}
+
+
 def test_one_more_shard_moves_little_without_slack(spark):
     """The law `rows` leaves no slack: counts are at most one apart for 24 and for 25 shards."""
     df = spark.range(20_000).selectExpr("id AS doc_id", "'t' AS text")

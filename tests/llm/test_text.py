@@ -76,6 +76,14 @@ def test_codec_round_trip(docs, odd, empty, rows):
     assert sentencepiece_codec.encode_and_check(odd, keep_ids=True).count() == odd.count() and sentencepiece_codec.encode(empty).count() == 0
 
 
+def test_codec_of_odd_rows(odd):
+    """By value: null and empty texts have no tokens, rows alike are alike, columns of other names are no harm."""
+    sp = library()
+    want = sorted((str(r.doc_id), hashlib.sha256(np.array(sp.encode(r.text or ""), dtype=np.int32).tobytes()).hexdigest()) for r in odd.collect())
+    got = sentencepiece_codec.encode_and_check(odd).collect()
+    assert sorted((str(r.doc_id), r.tokens_sha256) for r in got) == want and all(r.round_trip for r in got)
+
+
 # --- quality
 
 
@@ -110,6 +118,23 @@ def test_statistics_equal_brute_force():
         assert np.allclose(row, plain_statistics(t)), t
 
 
+def test_scores_of_odd_rows(spark, odd):
+    """By value: a row's score is that of its text alone; a null id is never held out."""
+    import zlib
+
+    r = np.random.default_rng(3)
+    x = r.random((300, len(quality.FEATURES))) * 3
+    model = quality.fit(x, (x[:, 9] > 1.5).astype(float), trees=10)
+    rows = odd.collect()
+    scores = model.predict(quality.statistics(pa.array([r.text for r in rows])))
+    held = [r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in rows]
+    want = sorted((str(r.doc_id), h, round(s, 9), int(s >= 0.7)) for r, h, s in zip(rows, held, scores.tolist(), strict=True))
+    got = sorted((str(r.doc_id), r.held_out, round(r.score, 9), r.predicted) for r in quality.score(odd, model).collect())
+    assert got == want
+    kept = sorted(str(r) for r, s in zip(rows, scores, strict=True) if s >= 0.7)
+    assert sorted(map(str, quality.keep_good(odd, model).collect())) == kept
+
+
 def test_learning_takes_one_text_of_an_id(spark):
     """Whatever the order of rows."""
     rows = [(i, junk(i) if i % 3 else prose(40, i)) for i in range(60)] + [(i, prose(30, 500 + i)) for i in range(60)]
