@@ -83,6 +83,28 @@ def test_jaccard_equals_brute_force(docs, rows, options):
     assert got == components(rows)
 
 
+@pytest.mark.parametrize("block", [1 << 19, 700, 90])
+def test_large_groups_in_blocks(spark, block):
+    """A chain in which only neighbours are linked, a family around one text, and texts that share much with either and are
+    linked with none: whatever the blocks, no link is lost and none is made."""
+    import random
+
+    r = random.Random(2)
+    words = [f"c{i}" for i in range(900)]
+    texts = [" ".join(words[9 * i : 9 * i + 100]) for i in range(40)]
+    base = prose(120, 77, 5000).split()
+    for i in range(40):
+        v = list(base)
+        for _ in range(i % 4):
+            v[r.randrange(len(v))] = f"e{r.randrange(10**6)}"
+        texts.append(" ".join(v))
+    texts += [" ".join(base[:70] + [f"z{i}{j}" for j in range(30)]) for i in range(6)] + [" ".join(words[100:160] + [f"y{j}" for j in range(40)])]
+    r.shuffle(texts)
+    rows = [(i, t, "", "", 0) for i, t in enumerate(texts)]
+    df = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, jaccard_join.jaccard_groups(df, block=block).collect())) == components(rows)
+
+
 def test_sets_that_share_a_name(docs, rows):
     """With names of so few bits, many sets share one."""
     got = sorted(map(tuple, jaccard_join.jaccard_groups(docs, name_bits=7).collect()))
