@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame
 from lattica.llm.shared import column_or_null
 from lattica.llm.text import pieces
 
-MARK = "▁"
+#: Stands for a space; and a character, of no meaning by Unicode, that tells literal ones of both from these.
+MARK, ESCAPE = "▁", "\ufdd0"
 #: Words that a worker keeps the ids of; text that it splits at a time.
 CACHE, CHUNK = 300_000, 4 << 20
 
@@ -30,38 +31,48 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Numbers and values of a message's fields."""
+    at = 0
+
+    def number():
+        nonlocal at
+        out = shift = 0
+        while True:
+            b = data[at]
+            at += 1
+            out |= (b & 127) << shift
+            shift += 7
+            if b < 128:
+                return out
+
+    while at < len(data):
+        key = number()
+        if key & 7 == 0:
+            yield key >> 3, number()
+        elif key & 7 == 2:
+            n = number()
+            yield key >> 3, data[at : at + n]
+            at += n
+        else:
+            at += 8 if key & 7 == 1 else 4
+
+
 def _model_kind(raw: bytes) -> int:
     """Field 3 of the trainer's settings (field 2 of the file): 1 unigram (where absent), 2 BPE."""
+    return next((x for k, v in _fields(raw) if k == 2 for f, x in _fields(v) if f == 3), 1)
+
 
-    def fields(data: bytes):
-        at = 0
-
-        def number():
-            nonlocal at
-            out = shift = 0
-            while True:
-                b = data[at]
-                at += 1
-                out |= (b & 127) << shift
-                shift += 7
-                if b < 128:
-                    return out
-
-        while at < len(data):
-            key = number()
-            if key & 7 == 0:
-                yield key >> 3, number()
-            elif key & 7 == 2:
-                n = number()
-                yield key >> 3, data[at : at + n]
-                at += n
-            else:
-                at += 4 if key & 7 == 5 else 8
-
-    for k, v in fields(raw):
-        if k == 2:
-            return next((x for f, x in fields(v) if f == 3), 1)
-    return 1
+def _check_normaliser(raw: bytes) -> None:
+    """Only texts as they are, with a mark before them, are encoded: a model that calls for anything else is refused."""
+    found = dict(x for k, v in _fields(raw) if k == 3 for x in _fields(v))
+    trainer = dict(x for k, v in _fields(raw) if k == 2 for x in _fields(v))
+    odd = [name for name, is_odd in (
+        ("a table of characters", bool(found.get(2))), ("no mark before the text", found.get(3, 1) == 0), ("extra spaces removed", found.get(4, 1) == 1),
+        ("spaces kept as they are", found.get(5, 1) == 0), ("marks behind words", trainer.get(24, 0) == 1),
+    ) if is_odd]
+    if odd:
+        raise ValueError(f"the model's normaliser isn't supported: {', '.join(odd)}")
 
 
 class Codec:
@@ -77,6 +88,7 @@ class Codec:
         sp = sentencepiece.SentencePieceProcessor(model_proto=raw)
         n = sp.get_piece_size()
         self.bpe = _model_kind(raw) == 2
+        _check_normaliser(raw)
         special = {i for i in range(n) if sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)}
         self.unk = sp.unk_id()
         names = [sp.id_to_piece(i) for i in range(n)]
@@ -186,14 +198,14 @@ class Codec:
             self.cache[word] = np.array([i for p in path for i in p][::-1], dtype=np.int32).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text. A literal mark in a text is written in bytes, so that decoding tells it from a space."""
+        """Ids of each text. A literal mark is escaped, so that decoding tells it from a space, and so is the escape itself."""
         split, runs = self.split.findall, []
         for t in texts:
             if not t:
                 runs.append([])
                 continue
-            if MARK in t:
-                t = t.replace(MARK, "﷐")
+            if MARK in t or ESCAPE in t:
+                t = t.replace(ESCAPE, ESCAPE + "0").replace(MARK, ESCAPE + "1")
             runs.append(split(MARK + t.replace(" ", MARK)))
         if len(self.cache) > CACHE // 2:  # words in use move on, the others go with the next change
             self.old, self.cache = self.cache, {}
@@ -207,7 +219,8 @@ class Codec:
     def decode(self, ids: np.ndarray) -> str:
         """The text: bytes of its pieces without the first mark."""
         out = b"".join(map(self.out.__getitem__, ids.tolist()))
-        return (out[1:] if out[:1] == b" " else out).decode("utf-8", "replace").replace("﷐", MARK)
+        text = (out[1:] if out[:1] == b" " else out).decode("utf-8", "replace")
+        return text.replace(ESCAPE + "1", MARK).replace(ESCAPE + "0", ESCAPE) if ESCAPE in text else text
 
 
 def _texts(column: pa.Array) -> list[str | None]:
@@ -218,7 +231,8 @@ def _texts(column: pa.Array) -> list[str | None]:
 
 
 def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, token_ids. A null or empty text has no ids; any other text starts with a mark. Other columns aren't read."""
+    """doc_id, token_ids for every row, null and repeated ids included. A null or empty text has no ids; any other text starts with
+    a mark. Bytes that aren't UTF-8 are read as U+FFFD. Other columns aren't read. A task holds the longest text some ten times over."""
     path = model or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,7 +264,8 @@ def decode(tokens: DataFrame, model: str | None = None) -> DataFrame:
 
 
 def encode_and_check(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, tokens_sha256 (of the ids as little-endian int32), round_trip (decoding gives the text again)."""
+    """doc_id, n_tokens, tokens_sha256 (of the ids as little-endian int32), round_trip (decoding gives the text again) for every row;
+    see encode for null texts and others. keep_ids adds token_ids."""
     path = model or default_model()
     names = ["doc_id", "n_tokens", "tokens_sha256", "round_trip", *(["token_ids"] if keep_ids else [])]
 

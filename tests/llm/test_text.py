@@ -51,7 +51,17 @@ def test_bpe_equals_library():
     assert codec.bpe
     for t, ids in zip(TEXTS, codec.encode(TEXTS), strict=True):
         assert ids.tolist() == sp.encode(t) and codec.decode(ids) == t
-    assert codec.decode(codec.encode(["a▁b ▁"])[0]) == "a▁b ▁"
+    for odd in ("a▁b ▁", "\ufdd0", "x\ufdd01▁\ufdd00 \ufdd0", "▁▁ \ufdd0▁0"):
+        assert codec.decode(codec.encode([odd])[0]) == odd
+    assert codec.decode(np.array(sp.encode("a\ufdd0b"), dtype=np.int32)) == "a\ufdd0b"
+
+
+def test_other_normalisers_are_refused():
+    spec = lambda *fields: bytes([0x1A, 2 * len(fields)]) + b"".join(bytes(f) for f in fields)
+    sentencepiece_codec._check_normaliser(spec((0x20, 0)))
+    for bad in (spec(), spec((0x20, 1)), spec((0x18, 0), (0x20, 0)), spec((0x20, 0), (0x28, 0)), b"\x1a\x05\x12\x01x\x20\x00"):
+        with pytest.raises(ValueError):
+            sentencepiece_codec._check_normaliser(bad)
 
 
 def test_unigram_equals_library(tmp_path):
