@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from lattica.functions.metrics import AXES, L2, metric_for
 
-#: Cells of the first level, which is broadcast; halvings of space from one level to the next (a third of them on each axis).
-TOP_CELLS, HALVINGS = 4096, 6
+#: Cells of the first level, which is broadcast; halvings of space from one level to the next (a third of them on each axis);
+#: splits of a round of medians that are broadcast.
+TOP_CELLS, HALVINGS, SPLITS = 512, 6, 4096
 
 
 def domain_violations(df: DataFrame, box: float) -> DataFrame:
@@ -42,12 +43,12 @@ def assign_grid_cells(df: DataFrame, lo: tuple[float, ...], step: float, bins: i
 
 
 def assign_median_cells(df: DataFrame, depth: int) -> DataFrame:
-    """Balanced splits at approximate medians, axes in turn. The splits of a round are broadcast while they are at most TOP_CELLS."""
+    """Balanced splits at approximate medians, axes in turn. The splits of a round are broadcast while they are at most SPLITS."""
     out = df.withColumn("cell_id", F.lit(1).cast("long"))
     for d in range(depth):
         axis = AXES[d % 3]
         splits = out.groupBy("cell_id").agg(F.percentile_approx(axis, 0.5).alias("_split"))
-        out = out.join(F.broadcast(splits) if 1 << d <= TOP_CELLS else splits, "cell_id").select(
+        out = out.join(F.broadcast(splits) if 1 << d <= SPLITS else splits, "cell_id").select(
             *df.columns, (F.col("cell_id") * 2 + (F.col(axis) > F.col("_split")).cast("long")).alias("cell_id")
         )
     return out
