@@ -157,6 +157,38 @@ def test_segments_of_parts_of_a_text():
         assert all((np.diff(parts.number[parts.doc == d]) == 1).all() for d in range(4))
 
 
+def test_unlinked_sets_meet_few_blocks(spark, monkeypatch):
+    """Texts that share one passage, too much to be told apart by segments and too little to be linked, are one large group. Verification gets each set a bounded number of times, and links within the group are found."""
+    passage = prose(128, 900, 10**6)
+    texts = [f"{prose(64, 700 + i, 10**6)} {passage}" for i in range(40)]
+    texts += [t + " end" for t in texts[::10]]
+    rows = list(enumerate(texts))
+    sent, linked = [], jaccard_join._linked
+
+    def counted(sets, percent):
+        sent.append(sets.count())
+        return linked(sets, percent)
+
+    monkeypatch.setattr(jaccard_join, "_linked", counted)
+    got = jaccard_join.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string"), block=400)
+    assert sorted(map(tuple, got.collect())) == components(rows)
+    assert len(sent) == 3 and sent[0] > 30 and sent[2] <= 4 * len(rows)
+
+
+def test_only_wanted_texts_are_shuffled(spark, docs, rows, monkeypatch):
+    """Beyond the number of classes that are broadcast, texts without candidates are left out before the join."""
+    through, let = [], jaccard_join._let_through
+
+    def counted(*args):
+        through.append(let(*args))
+        return through[0]
+
+    monkeypatch.setattr(jaccard_join, "WANTED", 0)
+    monkeypatch.setattr(jaccard_join, "_let_through", counted)
+    assert sorted(map(tuple, jaccard_join.jaccard_groups(docs).collect())) == components(rows)
+    assert 0 < through[0].count() < len(rows) * 0.75
+
+
 def test_jaccard_odd_and_empty(odd, empty):
     got = jaccard_join.jaccard_groups(odd)
     assert got.count() == odd.count()
