@@ -107,6 +107,16 @@ def test_levels_of_an_index(spark, method, box):
     assert rows["id"].tolist() == ids.ravel().tolist() and np.allclose(rows["dist"], dist.ravel())
 
 
+@pytest.mark.parametrize("method", ["grid", "median"])
+def test_stats_whatever_the_levels(spark, method):
+    p = src.points_from_numpy(spark, cloud(1500, 2.0))
+    q = src.points_from_numpy(spark, cloud(25, 2.0, 9))
+    flat, high = (SpatialIndex.build(p, 8, None, method, top_cells=t) for t in (100_000, 3))
+    assert flat.depth == 0 and high.depth > 0
+    one, two = (sorted(map(tuple, knn.query_stats(q, i, 4).collect())) for i in (flat, high))
+    assert one == two and len(one) == 25 and all(r[1] + r[2] == flat.size for r in one)
+
+
 def test_crowded_cells_go_to_the_index(spark):
     """Points so clustered that a uniform grid would have them in few cells."""
     r = np.random.default_rng(8)
