@@ -117,6 +117,28 @@ def test_stats_whatever_the_levels(spark, method):
     assert one == two and len(one) == 25 and all(r[1] + r[2] == flat.size for r in one)
 
 
+@pytest.mark.parametrize("ranked", [index.RANKED, 3000])
+def test_median_cells_are_exact(spark, ranked):
+    """Cells of more points than approximate quantiles tell apart, ties, and a place that holds a tenth of the points."""
+    r = np.random.default_rng(3)
+    p = np.vstack([r.random((30_000, 3)), r.integers(0, 40, (5000, 3)) / 40, np.full((4000, 3), 0.25)])
+    r.shuffle(p)
+    cell = np.ones(len(p), dtype=np.int64)
+    for d in range(9):
+        v, out = p[:, d % 3], cell * 2
+        for c in np.unique(cell):
+            at = np.flatnonzero(cell == c)
+            out[at] += v[at] > np.sort(v[at])[(len(at) + 1) // 2 - 1]
+        cell = out
+    got = index.assign_median_cells(src.points_from_numpy(spark, p), 9, ranked).orderBy("id").toPandas()
+    assert got["id"].tolist() == list(range(len(p))) and got["cell_id"].tolist() == cell.tolist()
+
+
+def test_plan_of_median_cells_stays_small(spark):
+    cells = SpatialIndex.build(src.points_from_numpy(spark, cloud(4096)), 4, None, "median").cells
+    assert len(cells._jdf.queryExecution().logical().toString()) < 20_000
+
+
 def test_crowded_cells_go_to_the_index(spark):
     """Points so clustered that a uniform grid would have them in few cells."""
     r = np.random.default_rng(8)
